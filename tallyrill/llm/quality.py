@@ -44,6 +44,15 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.decode("utf-8", "replace").lower().encode().translate(_WORDS).split()
 
 
+#: Bytes of the beginnings that stand for the words that share them.
+BEGINNINGS = (6, 7, 8, 9)
+
+
+def terms_of(words: set[bytes]) -> set[bytes]:
+    """The words, and the beginnings of longer ones (with a mark), by which a family of rare words counts together."""
+    return words.union(*({w[:n] + b"~" for w in words if len(w) > n} for n in BEGINNINGS))
+
+
 def shape(raw: bytes, words: list[bytes], distinct: int) -> list[float]:
     """The shape of a text: the same length for every text."""
     n = max(1, len(raw))
@@ -53,16 +62,16 @@ def shape(raw: bytes, words: list[bytes], distinct: int) -> list[float]:
     return [*kinds, np.log1p(len(raw)), np.log1p(len(words)), len(words) / tokens, sum(map(len, words)) / max(1, len(words)) / 10, distinct / max(1, len(words)), len(set(lines)) / len(lines), float(kinds[1] > 0.5 * (kinds[0] + kinds[1]))]
 
 
-def _strongest(words: set[bytes], scores: dict[bytes, float]) -> list[float]:
+def _strongest(terms: set[bytes], scores: dict[bytes, float]) -> list[float]:
     """The TOP highest scores of words, and their lowest; zeros where there are fewer."""
-    found = sorted(scores[w] for w in words & scores.keys())
+    found = sorted(scores[w] for w in terms & scores.keys())
     up, down = [x for x in found[::-1] if x > 0][:TOP], [x for x in found if x < 0][:TOP]
     return [*up, *[0.0] * (TOP - len(up)), *down, *[0.0] * (TOP - len(down))]
 
 
 @dataclass
 class Model:
-    """For each target: word scores, the features' means and scales, and weights (the last one is the intercept)."""
+    """For each target: scores of terms, the features' means and scales, and weights (the last one is the intercept)."""
 
     scores: list[dict[bytes, float]]
     mean: list[np.ndarray]
@@ -71,14 +80,15 @@ class Model:
 
     def log_odds(self, raws: list[bytes]) -> np.ndarray:
         out = np.zeros((len(raws), len(TARGETS)))
-        shapes, sets = [], []
+        shapes, terms = [], []
         for raw in raws:
             words = words_of(raw)
-            sets.append(set(words))
-            shapes.append(shape(raw, words, len(sets[-1])))
+            distinct = set(words)
+            shapes.append(shape(raw, words, len(distinct)))
+            terms.append(terms_of(distinct))
         for k in range(len(TARGETS)):
             if raws:
-                x = np.hstack([np.array(shapes), np.array([_strongest(s, self.scores[k]) for s in sets])])
+                x = np.hstack([np.array(shapes), np.array([_strongest(s, self.scores[k]) for s in terms])])
                 out[:, k] = ((x - self.mean[k]) / self.scale[k]) @ self.weights[k][:-1] + self.weights[k][-1]
         return np.clip(out, -30, 30)
 
@@ -118,7 +128,7 @@ def fit(rows: list[tuple[bytes, list[float], list]]) -> Model:
     model = Model([], [], [], [])
     width = len(shape(b"", [], 0)) + 2 * TOP
     for k in range(len(TARGETS)):
-        own = [(set(w.split()), s, int(y[k])) for w, s, y in rows if y[k] in (0, 1)]
+        own = [(terms_of(set(w.split())), s, int(y[k])) for w, s, y in rows if y[k] in (0, 1)]
         y = np.array([r[2] for r in own])
         if len(own) < 20 or y.min() == y.max():
             share = (y.sum() + 1) / (len(y) + 2)
