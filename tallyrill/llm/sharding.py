@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ._shared import materialize, utf8
 
 #: Rows that one task ranks at a time, roughly; larger units are ranked in blocks.
-BLOCK_ROWS = 200_000
+BLOCK_ROWS = 1000
 
 
 def schedule(units: list[tuple[int, int]], shards: int) -> dict[int, int]:
