@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, packing, quality, sharding, tokens, winnowing
+from . import licenses, packing, quality, sharding, simhash, tokens, winnowing
 from ._shared import documents
 
 
@@ -27,6 +27,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir), width=4, radius=4)
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(documents(spark, sf_dir))
 
@@ -35,7 +39,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_shard, op4_winnow, op6_bpe, op9_licenses, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_shard, op4_winnow, op6_bpe, op7_simhash, op9_licenses, op10_quality)}
 
 
 def _quoted(text: str) -> str:
