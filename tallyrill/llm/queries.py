@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, packing, quality, sharding, simhash, tokens, winnowing
+from . import ann, licenses, packing, quality, sharding, simhash, tokens, winnowing
 from ._shared import documents
 
 
@@ -31,6 +31,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), width=4, radius=4)
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=20, k=20, width=1)
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(documents(spark, sf_dir))
 
@@ -39,7 +43,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_shard, op4_winnow, op6_bpe, op7_simhash, op9_licenses, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_shard, op4_winnow, op6_bpe, op7_simhash, op8_ann, op9_licenses, op10_quality)}
 
 
 def _quoted(text: str) -> str:
