@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, licenses, packing, quality, sharding, simhash, tokens, winnowing
+from . import ann, licenses, lines, packing, quality, sharding, simhash, tokens, winnowing
 from ._shared import documents
 
 
@@ -23,6 +23,10 @@ def op4_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprint_edits(documents(spark, sf_dir), k=32, window=64)
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(documents(spark, sf_dir), k=8, similarity=0.8)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -43,7 +47,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_shard, op4_winnow, op6_bpe, op7_simhash, op8_ann, op9_licenses, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_shard, op4_winnow, op5_lines, op6_bpe, op7_simhash, op8_ann, op9_licenses, op10_quality)}
 
 
 def _quoted(text: str) -> str:
