@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, licenses, lines, packing, quality, sharding, simhash, tokens, winnowing
+from . import ann, licenses, lines, packing, quality, sharding, simhash, suffixes, tokens, winnowing
 from ._shared import documents
 
 
@@ -19,6 +19,10 @@ def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(documents(spark, sf_dir), length=100)
+
+
 def op4_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprint_edits(documents(spark, sf_dir), k=32, window=64)
 
@@ -47,7 +51,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_shard, op4_winnow, op5_lines, op6_bpe, op7_simhash, op8_ann, op9_licenses, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_shard, op3_suffixes, op4_winnow, op5_lines, op6_bpe, op7_simhash, op8_ann, op9_licenses, op10_quality)}
 
 
 def _quoted(text: str) -> str:
