@@ -141,20 +141,20 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) ->
 
 
 def _pack_group(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    rows = rows.sort_values("uid", ignore_index=True)  # the same packing on each run
+    rows = rows.sort_values("__uid", ignore_index=True)  # the same packing on each run
     which, offset = pack_lengths(rows["length"].to_numpy(), capacity)
-    return rows.drop(columns=["grp", "uid"]).assign(sequence_id=rows["grp"].to_numpy(np.int64) * (1 << 32) + which, offset=offset)
+    return rows.drop(columns=["__grp", "__uid"]).assign(sequence_id=rows["__grp"].to_numpy(np.int64) * (1 << 32) + which, offset=offset)
 
 
 def pack(parts: DataFrame, capacity: int = 4096, group_rows: int = 20_000) -> DataFrame:
     """The rows of ``parts`` (with a long column ``length``, 1 to ``capacity``), with sequence_id and offset."""
-    stored = materialize(parts.withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    stored = materialize(parts.withColumn("__uid", F.monotonically_increasing_id()), "pieces")
     loose = stored.filter(F.col("length") < capacity)
     groups = max(1, -(-loose.count() // group_rows))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields) + ", sequence_id long, offset long"
-    packed = loose.withColumn("grp", F.pmod(F.xxhash64("uid"), F.lit(groups))).groupBy("grp").applyInPandas(partial(_pack_group, capacity=capacity), schema)
+    packed = loose.withColumn("__grp", F.pmod(F.xxhash64("__uid"), F.lit(groups))).groupBy("__grp").applyInPandas(partial(_pack_group, capacity=capacity), schema)
     # Negative numbers: the full pieces.
-    full = stored.filter(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.col("uid")).withColumn("offset", F.lit(0).cast("long")).drop("uid")
+    full = stored.filter(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.col("__uid")).withColumn("offset", F.lit(0).cast("long")).drop("__uid")
     return packed.unionByName(full)
 
 

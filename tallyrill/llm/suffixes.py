@@ -33,6 +33,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from ._shared import materialize, partitions, utf8
 from .winnowing import _sliding_least, rolling_hashes
@@ -260,14 +261,14 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterato
         return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
 
     for b in batches:
-        for doc, dk, raw in zip(b.column("doc_id").to_pylist(), b.column("dk").to_pylist(), b.column("raw").to_pylist(), strict=True):
+        for doc, dk, raw in zip(b.column("doc").to_pylist(), b.column("dk").to_pylist(), b.column("__raw").to_pylist(), strict=True):
             if len(raw) < length:
                 continue
             codes = np.frombuffer(raw, np.uint8)
             at = anchors(codes, length)
             h, ahead = surroundings(codes, at, length)
             n = len(at)
-            held.append((np.lib.stride_tricks.sliding_window_view(codes, GRAM)[at], h, np.full(n, _LAST if doc is None else doc, np.int64), np.full(n, dk, np.int32), at.astype(np.int32), ahead))
+            held.append((np.lib.stride_tricks.sliding_window_view(codes, GRAM)[at], h, np.full(n, doc, np.int64), np.full(n, dk, np.int32), at.astype(np.int32), ahead))
             count += n
             if count >= RUN:
                 yield flush()
@@ -322,10 +323,11 @@ def _merge_parts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts (__raw) become zipped ones (__zip, the last column): less to shuffle."""
     packer = zstandard.ZstdCompressor(level=3)
     for b in batches:
-        keep = [i for i, n in enumerate(b.schema.names) if n != "raw"]
-        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array([packer.compress(r) for r in b.column("raw").to_pylist()], pa.binary())], [*(b.schema.names[i] for i in keep), "zip"])
+        keep = [i for i, n in enumerate(b.schema.names) if n != "__raw"]
+        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array([packer.compress(r) for r in b.column("__raw").to_pylist()], pa.binary())], [*(b.schema.names[i] for i in keep), "__zip"])
 
 
 def _sides(length: int) -> tuple[tuple[int, int], tuple[int, int]]:
@@ -339,7 +341,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
     half = one[0]
     for b in batches:
         rows = []
-        for doc, dk, packed, places in zip(*(b.column(c).to_pylist() for c in ("doc", "dk", "zip", "places")), strict=True):
+        for doc, dk, packed, places in zip(*(b.column(c).to_pylist() for c in ("doc", "dk", "__zip", "places")), strict=True):
             raw = unpacker.decompress(packed)
             for at in places:
                 if at + length - half <= len(raw):  # what all windows of the first kind share
@@ -413,7 +415,8 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int, few: int = 16) -> I
                 if len(rows) > 1:
                     out += (_compare_few if len(rows) <= few else _compare_many)(rows, length)
                 now, rows = key, []
-            rows.append(row)
+            if not rows or rows[-1][:3] != row[:3]:  # rows of equal id and text are one document
+                rows.append(row)
         yield _found([tuple(np.array([o[i] for o in out], np.int64) for i in range(4))], False)
     if len(rows) > 1:
         out = (_compare_few if len(rows) <= few else _compare_many)(rows, length)
@@ -421,20 +424,20 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int, few: int = 16) -> I
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    """docs with __doc, __dk and raw."""
-    return docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("__dk", F.xxhash64("text").bitwiseAND(0x7FFFFFFF).cast("int")).withColumn("raw", utf8("text"))
+    """docs with __doc, __dk and __raw."""
+    return docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("__dk", F.xxhash64("text").bitwiseAND(0x7FFFFFFF).cast("int")).withColumn("__raw", utf8("text"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """Covered spans, not yet united: doc (id; the largest long for null), dk (hash of the text), start, end."""
     count = partitions(docs.sparkSession)
     placed = _placed(docs.select("doc_id", "text"))
-    source = placed.select(F.col("__doc").alias("doc_id"), F.col("__dk").alias("dk"), "raw")
+    source = placed.select(F.col("__doc").alias("doc"), F.col("__dk").alias("dk"), "__raw")
     blocks = source.mapInArrow(partial(_runs, length=length, parts=2 * count), "part int, block binary")
     found = blocks.repartition(count, "part").sortWithinPartitions("part").mapInArrow(partial(_merge_parts, length=length), _FOUND_SCHEMA)
     found = materialize(found, "suffix-groups")
-    asked = found.filter("ask").groupBy("doc", "dk").agg(F.collect_list("start").alias("places"))
-    texts = source.select(F.col("doc_id").alias("doc"), "dk", "raw").mapInArrow(_squeeze, "doc long, dk int, zip binary")
+    asked = found.filter("ask").groupBy("doc", "dk").agg(F.collect_set("start").alias("places"))
+    texts = source.mapInArrow(_squeeze, "doc long, dk int, __zip binary")
     contexts = texts.join(asked, ["doc", "dk"]).mapInArrow(partial(_contexts, length=length), "key long, doc long, dk int, at long, before int, bytes binary")
     compared = contexts.repartition("key").sortWithinPartitions("key", "doc", "dk", "at").mapInArrow(partial(_compare, length=length), _FOUND_SCHEMA)
     return found.filter("not ask").unionAll(compared).select("doc", "dk", "start", "end")
@@ -462,7 +465,7 @@ def _apply(batches: Iterator[pa.RecordBatch], digests: bool) -> Iterator[pa.Reco
     unpacker = zstandard.ZstdDecompressor()
     for b in batches:
         sizes, gone, counts, kept = [], [], [], []
-        for packed, spans in zip(b.column("zip").to_pylist(), b.column("spans").to_pylist(), strict=True):
+        for packed, spans in zip(b.column("__zip").to_pylist(), b.column("__spans").to_pylist(), strict=True):
             raw, spans = unpacker.decompress(packed), united(spans or [])
             left = _cut(raw, spans)
             sizes.append(len(raw))
@@ -470,20 +473,19 @@ def _apply(batches: Iterator[pa.RecordBatch], digests: bool) -> Iterator[pa.Reco
             counts.append(len(spans))
             # A cut may go through a character, whose other bytes go with it.
             kept.append(hashlib.sha256(left).hexdigest() if digests else left.decode("utf-8", "ignore"))
-        names = [n for n in b.schema.names if n not in ("zip", "spans")]
-        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(counts, pa.int64()), pa.array(kept, pa.string())], [*names, "__n_bytes", "__n_removed", "__n_spans", "__kept"])
+        names = [n for n in b.schema.names if n not in ("__zip", "__spans")]
+        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *(pa.array(x, pa.int64()) for x in (sizes, gone, counts)), pa.array(kept, pa.string())], [*names, *_APPLIED])
+
+
+_APPLIED = ("__n_bytes", "__n_removed", "__n_spans", "__kept")
 
 
 def _applied(docs: DataFrame, length: int, digests: bool, *carried: str) -> DataFrame:
-    from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
-
-    spans = materialize(repeated_spans(docs, length), "spans").groupBy("doc", "dk").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    rows = _placed(docs).select(*carried, "__doc", "__dk", "raw")
-    fields = [f for f in rows.schema.fields if f.name != "raw"]
-    zipped = rows.mapInArrow(_squeeze, StructType([*fields, StructField("zip", BinaryType())]))
-    met = zipped.join(spans, (F.col("__doc") == F.col("doc")) & (F.col("__dk") == F.col("dk")), "left").select(*carried, "zip", "spans")
-    own = [f for f in met.schema.fields if f.name in carried]
-    return met.mapInArrow(partial(_apply, digests=digests), StructType([*own, *(StructField(n, LongType()) for n in ("__n_bytes", "__n_removed", "__n_spans")), StructField("__kept", StringType())]))
+    spans = materialize(repeated_spans(docs, length), "spans").groupBy(F.col("doc").alias("__at_doc"), F.col("dk").alias("__at_dk")).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
+    rows = _placed(docs).select(*carried, "__doc", "__dk", "__raw")
+    zipped = rows.mapInArrow(_squeeze, StructType([*rows.schema.fields[:-1], StructField("__zip", BinaryType())]))
+    met = zipped.join(spans, (F.col("__doc") == F.col("__at_doc")) & (F.col("__dk") == F.col("__at_dk")), "left").select(*carried, "__zip", "__spans")
+    return met.mapInArrow(partial(_apply, digests=digests), StructType([*met.schema.fields[:-2], *(StructField(n, LongType()) for n in _APPLIED[:-1]), StructField("__kept", StringType())]))
 
 
 def digests(docs: DataFrame, length: int = 100) -> DataFrame:
