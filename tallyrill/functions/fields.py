@@ -7,6 +7,7 @@ keys ("undefined" and "null") and in predicates.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,10 @@ def shown_number(x: Column) -> Column:
 
 @dataclass(frozen=True)
 class Field:
-    """All that a field can be asked for. number, text and truth are null where the field is not of that kind."""
+    """All that a field can be asked for. number, text and truth are null where the field is not of that kind.
+
+    plain: a typed column by itself, and its kind. What is said of it directly can be pushed down to the files.
+    """
 
     missing: Column
     null: Column
@@ -31,6 +35,15 @@ class Field:
     text: Column
     truth: Column
     seconds: Column
+    plain: tuple[Column, str] | None = None
+    shown: Column | None = None  # as text, where there is a simpler way
+
+    def within(self, after: int, before: int) -> Column:
+        """Is its time in [after, before), in whole seconds?"""
+        if self.plain and self.plain[1] == "time":
+            at = lambda s: F.lit((datetime(1970, 1, 1) + timedelta(seconds=s)).isoformat(" ")).cast("timestamp_ntz")
+            return (self.plain[0] >= at(after)) & (self.plain[0] < at(before))
+        return (self.seconds >= after) & (self.seconds < before)
 
     @property
     def loose_number(self) -> Column:
@@ -39,6 +52,8 @@ class Field:
     @property
     def key(self) -> Column:
         """As a group key: always a string."""
+        if self.shown is not None:
+            return F.coalesce(self.shown, F.lit("null"))
         value = F.coalesce(shown_number(self.number), self.text, self.truth.cast("string"))
         return F.when(self.missing, "undefined").when(self.null, "null").otherwise(F.coalesce(value, F.lit("[object Object]")))
 
@@ -85,22 +100,24 @@ class Columns:
         column, kind, rest = found
         if rest:
             return Records.at(F.try_parse_json(column), rest)
-        number, text, truth, seconds = no("double"), no("string"), no("boolean"), no("long")
+        number, text, truth, seconds, plain = no("double"), no("string"), no("boolean"), no("long"), None
         if isinstance(kind, T.NumericType):
-            number, seconds = column.cast("double"), F.floor(column).cast("long")
+            number, seconds, plain = column.cast("double"), F.floor(column).cast("long"), (column, "number")
         elif isinstance(kind, T.BooleanType):
             truth = column
         elif isinstance(kind, T.TimestampNTZType):
             # Whole seconds from the epoch, whatever the session's time zone; rounded down before 1970 too.
             text, seconds = column.cast("string"), F.floor(F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), column) / 1_000_000).cast("long")
+            plain = (column, "time")
         elif isinstance(kind, T.TimestampType):
             text, seconds = column.cast("string"), F.unix_seconds(column)
         elif isinstance(kind, T.DateType):
             text, seconds = column.cast("string"), F.unix_date(column).cast("long") * 86_400
         else:
-            text = column.cast("string")
-            seconds = text_seconds(text)
-        return Field(F.lit(False), column.isNull(), number, text, truth, seconds)
+            text = column if isinstance(kind, T.StringType) else column.cast("string")
+            seconds, plain = text_seconds(text), (column, "text") if isinstance(kind, T.StringType) else None
+        shown = column.cast("string") if isinstance(kind, (T.IntegralType, T.StringType, T.BooleanType)) else None
+        return Field(F.lit(False), column.isNull(), number, text, truth, seconds, plain, shown)
 
     def _find(self, schema: T.StructType, name: str, parent: Column | None):
         """(column, type, what of the name is left over), or None."""

@@ -75,6 +75,9 @@ def _compare(op: str, field, constant) -> Column:
     if constant is None:
         same = field.null
         return same if op in ("eq", "le", "ge") else ~same if op == "ne" else F.lit(False)
+    if field.plain and field.plain[1] == ("text" if isinstance(constant, str) else "" if isinstance(constant, bool) else "number"):
+        out = f(field.plain[0], F.lit(constant))
+        return out | field.null if op == "ne" else out  # null, which counts as false, for the others
     if isinstance(constant, str):
         # Texts compare as texts; numbers with what number the constant may be.
         try:

@@ -57,7 +57,7 @@ def plan(source: Source, query: Query, time_field: str | None = None, ds_filter:
         t = fields[time_field]
         undef.append(t.missing)
         baddate.append(t.seconds.isNull())
-        outside = ~((t.seconds >= query.seconds[0]) & (t.seconds < query.seconds[1]))
+        outside = ~t.within(*query.seconds)
     p = both(ds_filter, query.filter)
     either = lambda cs: reduce(lambda a, b: a | b, cs, no)
     reasons = dict(zip(REASONS, (source.invalid, any_missing(p, fields), ~compile_filter(p, fields), either(undef), either(baddate), outside, either(nonnumeric)), strict=True))
