@@ -34,7 +34,8 @@ def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
     near = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
     if both_ways:
         near = near.unionAll(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # Written, so the join with it is one of two plain exchanges, which adaptive execution can split at a hub.
+    least = materialize(near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star-minima")
     met = near.join(least, "u")
     if both_ways:
         out = met.filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))

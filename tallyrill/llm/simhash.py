@@ -176,18 +176,26 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
     return dealt.mapInArrow(partial(_groups, radius=radius), "a long, b long")
 
 
-def _with_roots(rows: DataFrame, radius: int) -> DataFrame:
-    """rows (with __fp) and __root: the fingerprint that stands for the component."""
-    prints = materialize(rows.select(F.col("__fp").alias("fp")).distinct(), "prints")
-    found = components(links(prints, radius))
-    return rows.join(found.select(F.col("node").alias("__fp"), F.col("root").alias("__up")), "__fp", "left").withColumn("__root", F.coalesce("__up", "__fp")).drop("__up")
+def _with_first(rows: DataFrame, radius: int) -> DataFrame:
+    """rows (with __fp and __own, an orderable column) and __first: the least __own of the component.
+
+    What is joined to is written first, so that adaptive execution can split a fingerprint or component that holds many rows.
+    """
+    classes = materialize(rows.groupBy("__fp").agg(F.min("__own").alias("__least")), "prints")
+    found = components(links(classes.select(F.col("__fp").alias("fp")), radius))
+    # Roots are no nodes of their own.
+    both = found.unionAll(found.select("root", "root").distinct())
+    linked = materialize(both.join(classes, both["node"] == classes["__fp"]).select("__fp", "root", "__least"), "linked")
+    firsts = materialize(linked.groupBy("root").agg(F.min("__least").alias("__first")), "firsts")
+    placed = materialize(linked.join(firsts, "root").select("__fp", "__first"), "placed")
+    table = materialize(classes.join(placed, "__fp", "left").select("__fp", F.coalesce("__first", "__least").alias("__first")), "components")
+    return rows.join(table, "__fp")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest id)."""
-    rows = _with_roots(materialize(with_fingerprints(docs, "doc_id", width=width), "fingerprints"), radius)
-    least = rows.groupBy("__root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "__root").select("doc_id", hexadecimal(F.col("__fp")).alias("fingerprint"), "component_id")
+    rows = _with_first(materialize(with_fingerprints(docs, "doc_id", width=width), "fingerprints").withColumn("__own", F.col("doc_id")), radius)
+    return rows.select("doc_id", hexadecimal(F.col("__fp")).alias("fingerprint"), F.col("__first").alias("component_id"))
 
 
 def hexadecimal(signed: Column) -> Column:
@@ -197,8 +205,9 @@ def hexadecimal(signed: Column) -> Column:
 def keep_one(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """One row of each component, that of the smallest id (then of the smallest hash of its text), with all columns of ``docs``."""
     hashed = docs.withColumn("__h", F.xxhash64("text"))
-    rows = _with_roots(materialize(with_fingerprints(hashed, "doc_id", "__h", width=width), "fingerprints"), radius)
-    first = rows.groupBy("__root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__h")).alias("m")).select(F.col("m.doc_id").alias("__id"), F.col("m.__h").alias("__k"))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__h")
+    rows = _with_first(materialize(with_fingerprints(hashed, "doc_id", "__h", width=width).withColumn("__own", own), "fingerprints"), radius)
+    first = rows.select(F.col("__first.doc_id").alias("__id"), F.col("__first.__h").alias("__k")).distinct()
     kept = hashed.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__k")), "left_semi")
     # Repeated rows have the same id and text: any one of them stays.
     return kept.withColumn("__r", F.row_number().over(Window.partitionBy("doc_id", "__h").orderBy(F.lit(0)))).filter("__r = 1").select(*docs.columns)
