@@ -199,8 +199,10 @@ def repeated_lines(docs: DataFrame, k: int = 8, similarity: float = 0.8, bands:
     alike = found.select("h").unionAll(found.select(F.col("root").alias("h"))).distinct().withColumn("linked", F.lit(True))
     classes = occ.groupBy("h").agg(F.min(_occurrence()).alias("o"), F.count("*").alias("n")).join(alike, "h", "left").filter("n > 1 or linked").join(found, "h", "left").select("h", "o", F.coalesce("root", "h").alias("root"))
     classes = materialize(classes, "line-classes")
-    stays = classes.groupBy("root").agg(F.min("o").alias("stays"))
-    judged = occ.select("h", "doc_id", "dk", "line_no", _occurrence().alias("own")).join(classes.select("h", "root").join(stays, "root").select("h", "stays"), "h")
+    # Written tables on one side let adaptive execution split a line or component with very many rows on the other.
+    first = materialize(classes.groupBy("root").agg(F.min("o").alias("stays")), "line-firsts")
+    stays = materialize(classes.select("h", "root").join(first, "root").select("h", "stays"), "line-stays")
+    judged = occ.select("h", "doc_id", "dk", "line_no", _occurrence().alias("own")).join(stays, "h")
     return judged.filter(~F.col("own").eqNullSafe(F.col("stays"))).groupBy(*_LINE_KEY).agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
 
 
