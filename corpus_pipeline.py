@@ -24,7 +24,7 @@ def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, width=5, radius=4)
+    return simhash.keep_one_similar(docs, width=5, similarity=0.8)
 
 
 def _suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,9 +25,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from ._shared import materialize, utf8
 from .components import components, local_roots
@@ -176,38 +177,187 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
     return dealt.mapInArrow(partial(_groups, radius=radius), "a long, b long")
 
 
-def _with_first(rows: DataFrame, radius: int) -> DataFrame:
-    """rows (with __fp and __own, an orderable column) and __first: the least __own of the component.
+def _with_first(rows: DataFrame, classes: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """rows (with ``key``) and __first: the least __own of the component; classes: a row for each key, with __least; found: links (a, b) of keys.
 
-    What is joined to is written first, so that adaptive execution can split a fingerprint or component that holds many rows.
+    What is joined to is written first, so that adaptive execution can split a key or component that holds many rows.
     """
-    classes = materialize(rows.groupBy("__fp").agg(F.min("__own").alias("__least")), "prints")
-    found = components(links(classes.select(F.col("__fp").alias("fp")), radius))
+    tree = components(found)
     # Roots are no nodes of their own.
-    both = found.unionAll(found.select("root", "root").distinct())
-    linked = materialize(both.join(classes, both["node"] == classes["__fp"]).select("__fp", "root", "__least"), "linked")
+    both = tree.unionAll(tree.select("root", "root").distinct())
+    linked = materialize(both.join(classes, both["node"] == classes[key]).select(key, "root", "__least"), "linked")
     firsts = materialize(linked.groupBy("root").agg(F.min("__least").alias("__first")), "firsts")
-    placed = materialize(linked.join(firsts, "root").select("__fp", "__first"), "placed")
-    table = materialize(classes.join(placed, "__fp", "left").select("__fp", F.coalesce("__first", "__least").alias("__first")), "components")
-    return rows.join(table, "__fp")
+    placed = materialize(linked.join(firsts, "root").select(key, "__first"), "placed")
+    table = materialize(classes.join(placed, key, "left").select(key, F.coalesce("__first", "__least").alias("__first")), "components")
+    return rows.join(table, key)
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest id)."""
-    rows = _with_first(materialize(with_fingerprints(docs, "doc_id", width=width), "fingerprints").withColumn("__own", F.col("doc_id")), radius)
-    return rows.select("doc_id", hexadecimal(F.col("__fp")).alias("fingerprint"), F.col("__first").alias("component_id"))
+    rows = materialize(with_fingerprints(docs, "doc_id", width=width), "fingerprints")
+    classes = materialize(rows.groupBy("__fp").agg(F.min("doc_id").alias("__least")), "prints")
+    placed = _with_first(rows, classes, "__fp", links(classes.select(F.col("__fp").alias("fp")), radius))
+    return placed.select("doc_id", hexadecimal(F.col("__fp")).alias("fingerprint"), F.col("__first").alias("component_id"))
 
 
 def hexadecimal(signed: Column) -> Column:
     return F.lower(F.lpad(F.hex(signed), 16, "0"))
 
 
+def _own():
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__h")
+
+
+def _kept(hashed: DataFrame, placed: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of ``hashed`` that are the first of their component."""
+    first = placed.select(F.col("__first.doc_id").alias("__id"), F.col("__first.__h").alias("__k")).distinct()
+    kept = hashed.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__k")), "left_semi")
+    # Repeated rows have the same id and text: any one of them stays.
+    return kept.withColumn("__r", F.row_number().over(Window.partitionBy("doc_id", "__h").orderBy(F.lit(0)))).filter("__r = 1").select(*columns)
+
+
 def keep_one(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """One row of each component, that of the smallest id (then of the smallest hash of its text), with all columns of ``docs``."""
     hashed = docs.withColumn("__h", F.xxhash64("text"))
-    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__h")
-    rows = _with_first(materialize(with_fingerprints(hashed, "doc_id", "__h", width=width).withColumn("__own", own), "fingerprints"), radius)
-    first = rows.select(F.col("__first.doc_id").alias("__id"), F.col("__first.__h").alias("__k")).distinct()
-    kept = hashed.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__k")), "left_semi")
-    # Repeated rows have the same id and text: any one of them stays.
-    return kept.withColumn("__r", F.row_number().over(Window.partitionBy("doc_id", "__h").orderBy(F.lit(0)))).filter("__r = 1").select(*docs.columns)
+    rows = materialize(with_fingerprints(hashed, "doc_id", "__h", width=width).withColumn("__own", _own()), "fingerprints")
+    classes = materialize(rows.groupBy("__fp").agg(F.min("__own").alias("__least")), "prints")
+    return _kept(hashed, _with_first(rows, classes, "__fp", links(classes.select(F.col("__fp").alias("fp")), radius)), docs.columns)
+
+
+# Near-duplicates by similarity: a radius wide enough for it, and an exact check of what is within.
+
+#: Odd numbers by which shingle hashes are put into other orders.
+_ORDERS = [pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(16)]
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], width: int, tables: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        prints, sizes, least, sets = [], [], [], []
+        for raw in b.column("__raw").to_pylist():
+            hashes = shingle_hashes(raw, width)
+            own = np.unique(hashes)
+            prints.append(fingerprint(hashes))
+            sizes.append(len(own))
+            sets.append(xxhash.xxh3_128_digest(own.tobytes()))
+            with np.errstate(over="ignore"):
+                least.append([int((own * np.uint64(m)).min()) if len(own) else 0 for m in _ORDERS[:tables]])
+        keep = [i for i, n in enumerate(b.schema.names) if n != "__raw"]
+        mins = np.array(least, np.uint64).view(np.int64).reshape(-1)
+        columns = [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(0, len(mins) + 1, tables), pa.int32()), pa.array(mins)), pa.array(sets, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), *columns], [*(b.schema.names[i] for i in keep), "__fp", "__n", "__mins", "__set"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[tuple]]:
+    """Groups of two rows or more; rows come sorted by the first two columns."""
+    now, rows = None, []
+    for b in batches:
+        for tab, key, *rest in zip(*(b.column(n).to_pylist() for n in ("tab", "key", *names)), strict=True):
+            if (tab, key) != now:
+                if len(rows) > 1:
+                    yield now, rows
+                now, rows = (tab, key), []
+            rows.append(rest)
+    if len(rows) > 1:
+        yield now, rows
+
+
+def _within(rows: list, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows that begin with a fingerprint and a size: their order by bit counts, and the pairs (of places in it) that can be similar."""
+    prints, sizes = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows])
+    order = np.argsort(np.bitwise_count(prints), kind="stable")
+    p, q = tiled_links(prints[order], None, radius)
+    a, b = sizes[order][p], sizes[order][q]
+    fit = (p != q) & (np.minimum(a, b) >= similarity * np.maximum(a, b))
+    return order, p[fit], q[fit]
+
+
+def _members(batches: Iterator[pa.RecordBatch], radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Those rows of each group that have another one within reach."""
+    out: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["tab", "key", "fp", "n", "set"])
+
+    for (tab, key), rows in _runs(batches, "fp", "n", "set"):
+        order, p, q = _within(rows, radius, similarity)
+        out += ((tab, key, *rows[order[i]]) for i in np.union1d(p, q))
+        if len(out) > 50_000:
+            yield batch()
+            out.clear()
+    yield batch()
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    unpacker = zstandard.ZstdDecompressor()
+    for b in batches:
+        sets = [np.unique(shingle_hashes(unpacker.decompress(z), width)).tobytes() for z in b.column("__zip").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("set"), pa.array(sets, pa.binary())], ["set", "all"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch], radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links of each group that span its components of similar sets. Those in the middle are looked at first: one original links its copies."""
+    a, c = [], []
+    for _, rows in _runs(batches, "fp", "n", "set", "all"):
+        order, p, q = _within(rows, radius, similarity)
+        n = len(rows)
+        near = np.bincount(np.concatenate([p, q]), minlength=n)
+        first, second = np.where(near[p] >= near[q], p, q), np.where(near[p] >= near[q], q, p)
+        by_middle = np.lexsort((second, first, -near[first]))
+        sets = [np.frombuffer(rows[i][3], np.uint64) for i in order]
+        up = list(range(n))
+
+        def root(i: int, up=up) -> int:
+            while up[i] != i:
+                up[i] = i = up[up[i]]
+            return i
+
+        for i, j in zip(first[by_middle].tolist(), second[by_middle].tolist(), strict=True):
+            x, y = root(i), root(j)
+            if x != y:
+                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if shared >= similarity * (len(sets[i]) + len(sets[j]) - shared):
+                    up[x] = y
+                    a.append(rows[order[i]][2])
+                    c.append(rows[order[j]][2])
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(c, pa.binary())], ["a", "b"])
+
+
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    packer = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__h"), pa.array([packer.compress(r) for r in b.column("__raw").to_pylist()], pa.binary())], ["doc_id", "__h", "__zip"])
+
+
+def similar_links(hashed: DataFrame, classes: DataFrame, width: int, similarity: float, radius: int) -> DataFrame:
+    """Links (a, b) of shingle sets that are at least so similar; hashed: the documents, with __h; classes: a row for each __set."""
+    tables = F.posexplode("__mins")
+    keyed = classes.select(tables.alias("tab", "key"), F.col("__fp").alias("fp"), F.col("__n").alias("n"), F.col("__set").alias("set"), "__mins").filter("n > 0")
+    hot = materialize(keyed.groupBy("tab", "key").count().filter(F.col("count") > HOT_ROWS).select("tab", "key", F.lit(True).alias("hot")), "hot-minima")
+    if not hot.isEmpty():
+        # Too many to compare in one task: their next minimum splits them, and each table does so in another way.
+        after = F.element_at("__mins", F.pmod(F.col("tab") + 1, F.size("__mins")) + 1)
+        keyed = keyed.join(hot, ["tab", "key"], "left").withColumn("key", F.when(F.col("hot"), F.xxhash64("key", after)).otherwise(F.col("key")))
+    keyed = keyed.select("tab", "key", "fp", "n", "set").repartition("tab", "key").sortWithinPartitions("tab", "key")
+    members = materialize(keyed.mapInArrow(partial(_members, radius=radius, similarity=similarity), "tab int, key long, fp long, n long, set binary"), "near-members")
+    wanted = classes.join(members.select(F.col("set").alias("__set")).distinct(), "__set", "left_semi").select(F.col("__set").alias("set"), F.col("__least.doc_id").alias("id"), F.col("__least.__h").alias("k"))
+    kind = hashed.schema["doc_id"].dataType.simpleString()
+    texts = hashed.select("doc_id", "__h", utf8("text").alias("__raw")).mapInArrow(_squeeze, f"doc_id {kind}, __h long, __zip binary")
+    sets = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("__h") == F.col("k"))).select("set", "__zip").mapInArrow(partial(_shingle_sets, width=width), "set binary, all binary").dropDuplicates(["set"])
+    met = members.join(materialize(sets, "shingle-sets"), "set").select("tab", "key", "fp", "n", "set", "all").repartition("tab", "key").sortWithinPartitions("tab", "key")
+    return met.mapInArrow(partial(_verified, radius=radius, similarity=similarity), "a binary, b binary")
+
+
+def keep_one_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 20, tables: int = 6) -> DataFrame:
+    """One row of each component of documents whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Similar sets have fingerprints within a wide radius (about 10 bits at 0.8), for which blocks of bits are no help. So
+    fingerprints are compared, in tiles, where two documents share one of ``tables`` least shingles (at 0.8 all but 0.2 ^ tables
+    of pairs do); what is within the radius is checked exactly on the shingles.
+    """
+    hashed = docs.withColumn("__h", F.xxhash64("text"))
+    kept = hashed.select("doc_id", "__h")
+    more = [StructField("__fp", LongType()), StructField("__n", LongType()), StructField("__mins", ArrayType(LongType())), StructField("__set", BinaryType())]
+    rows = hashed.select("doc_id", "__h", utf8("text").alias("__raw")).mapInArrow(partial(_sketch, width=width, tables=tables), StructType([*kept.schema.fields, *more]))
+    rows = materialize(rows.withColumn("__own", _own()), "sketches")
+    classes = materialize(rows.groupBy("__set").agg(F.min("__own").alias("__least"), F.first("__fp").alias("__fp"), F.first("__n").alias("__n"), F.first("__mins").alias("__mins")), "sets")
+    return _kept(hashed, _with_first(rows.select("doc_id", "__h", "__set", "__own"), classes, "__set", similar_links(hashed, classes, width, similarity, radius)), docs.columns)

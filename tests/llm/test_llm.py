@@ -427,6 +427,44 @@ def test_simhash_odd(docs, rows, none, odd):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(rows[n][0] for n in set(label.tolist()))
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_similar(spark, docs, none, odd, hot, monkeypatch):
+    """An original with copies that are near it but not all near each other, and shorter and longer ones."""
+    if hot:
+        monkeypatch.setattr(simhash, "HOT_ROWS", 6)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for _ in range(4):
+        base = [word() for _ in range(400)]
+        rows.append(base)
+        for _ in range(12):
+            copy = list(base)
+            for at in rng.sample(range(0, 400, 8), rng.choice([2, 6, 8, 14])):
+                copy[at] = word()
+            rows.append(copy)
+        rows += [base[:300], base + base[:20], base]
+    rng.shuffle(rows)
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)] + [(900, None), (901, ""), (902, "a b"), (903, "a  B")]
+    sets = [set(zip(*(t.lower().split()[k:] for k in range(5)), strict=False)) or (t or "").lower() and {" ".join(t.lower().split())} or set() for _, t in ((i, t or "") for i, t in rows)]
+    label = list(range(len(rows)))
+    changed = True
+    while changed:
+        changed = False
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if label[i] != label[j] and len(a & b) >= 0.8 * len(a | b):
+                    label[i] = label[j] = min(label[i], label[j])
+                    changed = True
+    want = sorted(rows[i][0] for i in set(label))
+    got = simhash.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    got = sorted(r["doc_id"] for r in got.collect())
+    assert got == want if not hot else set(want) <= set(got) and len(got) <= len(want) + 2
+    if not hot:
+        assert simhash.keep_one_similar(none).collect() == [] and simhash.keep_one_similar(docs).columns == docs.columns
+        assert sorted(str(r["doc_id"]) for r in simhash.keep_one_similar(odd).collect()) == ["1", "1", "None"]
+
+
 # Neighbours
 
 
