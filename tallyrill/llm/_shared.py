@@ -26,6 +26,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyrill-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Shuffle files of what is written by now go when the driver has collected its garbage, which else may take long.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

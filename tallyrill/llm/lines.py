@@ -2,9 +2,8 @@
 
 Lines count by their normal form: lower case, without white space at the ends. The shingles of a line are its runs of
 ``k`` characters (a shorter line: the line itself). One permutation hashing gives a signature of ``bands * rows`` minima in one pass,
-and empty bins borrow from their neighbours. Lines that agree in one band are candidates: within a band's group each is
-paired with the group's first line and with the one before it, in an order that differs from band to band, and small groups
-pair all. A candidate pair becomes a link if the exact Jaccard similarity of the shingle sets is at least ``similarity``.
+and empty bins borrow from their neighbours. Lines that agree in one band are candidates: small groups
+pair all their lines, and in larger ones each is paired with the line that is in the most of such groups. A candidate pair becomes a link if the exact Jaccard similarity of the shingle sets is at least ``similarity``.
 Union by alternating stars makes components, of which the first line stays, in the order of ids, then of line numbers; all
 other occurrences go, exact copies among them.
 
@@ -92,39 +91,50 @@ def _occurrences(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: in
         yield made(b, row, number, lines)
 
 
-def _mixed(lid: np.ndarray, key: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (lid.view(np.uint64) ^ (key.view(np.uint64) >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xFF51AFD7ED558CCD)
-        return x ^ (x >> np.uint64(31))
-
-
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key. Of the group that goes on in the next batch only its first and its last line are held."""
-    first_held = last_held = None  # (key, lid)
-    for b in batches:
-        if not b.num_rows:
+    """Rows come sorted by key and line. Pairs (a, b) of small groups; of large ones each line (a) with the group's key.
+
+    A group that goes on in the next batch is held back as long as it is small; of a large one only the key is.
+    """
+    key = lid = np.zeros(0, np.int64)
+    large = None
+
+    def found(key: np.ndarray, lid: np.ndarray, place: np.ndarray, big: np.ndarray) -> pa.RecordBatch:
+        pairs = [np.flatnonzero((place >= back) & ~big) for back in range(1, SMALL)]
+        x, y = (np.concatenate([lid[at - back * first] for back, at in enumerate(pairs, 1)]) for first in (0, 1))
+        a, b = np.concatenate([np.minimum(x, y), lid[big]]), np.maximum(x, y)
+        n = np.arange(len(a)) >= len(b)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.concatenate([b, lid[big]]), mask=n), pa.array(np.concatenate([b, key[big]]), mask=~n)], ["a", "b", "key"])
+
+    for batch in batches:
+        key, lid = np.concatenate([key, batch.column("key").to_numpy()]), np.concatenate([lid, batch.column("lid").to_numpy()])
+        if not len(key):
             continue
-        key, lid = b.column("key").to_numpy(), b.column("lid").to_numpy()
-        order = np.lexsort((_mixed(lid, key), key))
-        key, lid = key[order], lid[order]
-        if first_held is not None and first_held[0] == key[0]:
-            key = np.concatenate([[first_held[0], last_held[0]], key])
-            lid = np.concatenate([[first_held[1], last_held[1]], lid])
+        once = np.concatenate([[True], (key[1:] != key[:-1]) | (lid[1:] != lid[:-1])])
+        key, lid = key[once], lid[once]
         new = np.concatenate([[True], key[1:] != key[:-1]])
-        start = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-        place = np.arange(len(key)) - start
-        size = np.diff(np.append(np.flatnonzero(new), len(key)))[np.cumsum(new) - 1]
-        pairs = []
-        for back in range(1, SMALL):
-            at = np.flatnonzero((place >= back) & ((size <= SMALL) | (back == 1)))
-            pairs.append((lid[at], lid[at - back]))
-        at = np.flatnonzero((place >= 2) & (size > SMALL))
-        pairs.append((lid[at], lid[start[at]]))
-        x, y = (np.concatenate([p[i] for p in pairs]) for i in range(2))
-        differ = x != y
-        both = np.unique(np.stack([np.minimum(x, y)[differ], np.maximum(x, y)[differ]], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-        first_held, last_held = (key[-1], lid[start[-1]]), (key[-1], lid[-1])
+        starts = np.flatnonzero(new)
+        size = np.diff(np.append(starts, len(key)))[np.cumsum(new) - 1]
+        place = np.arange(len(key)) - np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+        big = (size > SMALL) | (key == large if large is not None else False)
+        end = len(key) if big[-1] else starts[-1]
+        large = key[-1] if big[-1] else None
+        yield found(key[:end], lid[:end], place[:end], big[:end])
+        key, lid = key[end:], lid[end:]
+    yield found(key, lid, np.arange(len(key)), np.zeros(len(key), bool))
+
+
+def _pairs(banded: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b), each once. In a large group every line is paired with the one that is in the most large groups.
+
+    Copies of one line need not be near each other, but each shares bands with that line, which so is in more groups than they.
+    """
+    rows = materialize(banded.repartition("key").sortWithinPartitions("key", "lid").mapInArrow(_candidates, "a long, b long, key long"), "line-groups")
+    large = rows.filter("key is not null").select("key", F.col("a").alias("lid")).distinct()
+    ranked = large.join(materialize(large.groupBy("lid").agg(F.count("*").alias("n")), "line-ranks"), "lid")
+    middle = materialize(ranked.groupBy("key").agg(F.max(F.struct("n", (-F.col("lid")).alias("less"))).alias("m")).select("key", (-F.col("m.less")).alias("to")), "line-middles")
+    stars = large.join(middle, "key").filter("lid <> to").select(F.least("lid", "to").alias("a"), F.greatest("lid", "to").alias("b"))
+    return materialize(rows.filter("key is null").select("a", "b").unionAll(stars).distinct(), "line-pairs")
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,10 +190,9 @@ def repeated_lines(docs: DataFrame, k: int = 8, similarity: float = 0.8, bands:
     keyed = _keyed(docs.select("doc_id", "text")).select(*_LINE_KEY, utf8("text").alias("raw"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     occ = materialize(keyed.mapInArrow(partial(_occurrences, k=k, bands=bands, rows=rows), f"doc_id {kind}, dk long, line_no int, h binary, bands array<int>"), "line-hashes")
-    lid = F.xxhash64("h").alias("lid")
+    lid = F.xxhash64("h").bitwiseAND((1 << 48) - 1).alias("lid")  # lines that share one are told apart by h
     banded = occ.select(lid, F.posexplode("bands").alias("band", "v")).select((F.col("band").cast("long") * F.lit(1 << 32) + F.col("v").cast("long")).alias("key"), "lid")
-    pairs = banded.repartition("key").sortWithinPartitions("key", "lid").mapInArrow(_candidates, "a long, b long")
-    pairs = materialize(pairs.distinct(), "line-pairs")
+    pairs = _pairs(banded)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
     where = occ.select(lid, "h", _occurrence().alias("o")).join(wanted, "lid", "left_semi").groupBy("lid", "h").agg(F.min("o").alias("o"))
     by_doc = where.groupBy("o.doc_id", "o.dk").agg(F.collect_list(F.struct("lid", "h", F.col("o.line_no").alias("line_no"))).alias("wanted"))
