@@ -46,20 +46,28 @@ class Quantizer:
         m, _, w = self.centres.shape
         return np.pad(x, ((0, 0), (0, m * w - x.shape[1]))).reshape(len(x), m, w)
 
+    def _part(self, v: np.ndarray, u: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each vector and centre of a subspace: the residual's squared length, and its length along the vector."""
+        left = v[:, m, None] - self.centres[m][None]
+        return (left**2).sum(axis=2), (left * u[:, m, None]).sum(axis=2)
+
     def codes(self, x: np.ndarray, sweeps: int = 3, start: np.ndarray | None = None) -> np.ndarray:
-        """The code of each vector and subspace: coordinate descent from the nearest centres."""
+        """The code of each vector and subspace: coordinate descent from the nearest centres. One subspace is held at a time."""
         v = self._cut(x)
         u = v / np.maximum(np.linalg.norm(x, axis=1), 1e-30)[:, None, None]
-        away = np.stack([((v[:, m, None] - c[None]) ** 2).sum(axis=2) for m, c in enumerate(self.centres)], axis=1)
-        along = np.stack([((v[:, m, None] - c[None]) * u[:, m, None]).sum(axis=2) for m, c in enumerate(self.centres)], axis=1)
-        code = away.argmin(axis=2) if start is None else start
-        rows = np.arange(len(x))
-        total = np.take_along_axis(along, code[:, :, None], axis=2)[:, :, 0].sum(axis=1)
+        rows, total = np.arange(len(x)), np.zeros(len(x))
+        code = np.zeros((len(x), len(self.centres)), np.int64) if start is None else start
+        for m in range(len(self.centres)):
+            away, along = self._part(v, u, m)
+            if start is None:
+                code[:, m] = away.argmin(axis=1)
+            total += along[rows, code[:, m]]
         for _ in range(sweeps):
             for m in range(len(self.centres)):
-                others = total - along[rows, m, code[:, m]]
-                best = (away[:, m] + (self.eta - 1) * (others[:, None] + along[:, m]) ** 2).argmin(axis=1)
-                code[:, m], total = best, others + along[rows, m, best]
+                away, along = self._part(v, u, m)
+                others = total - along[rows, code[:, m]]
+                code[:, m] = (away + (self.eta - 1) * (others[:, None] + along) ** 2).argmin(axis=1)
+                total = others + along[rows, code[:, m]]
         return code
 
     def solve(self, x: np.ndarray, code: np.ndarray) -> None:
@@ -142,7 +150,7 @@ def _scan(batches: Iterator[pa.RecordBatch], quantizer: Quantizer, ids: np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], ["query_id", "cid", "approx"])
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 20_000, rerank: int = 100, width: int = 2, block: int = 4096, chunk: int = 16_384) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 8192, rerank: int = 100, width: int = 2, block: int = 4096, chunk: int = 16_384) -> DataFrame:
     """For each row of ``vectors`` (vec_id, embedding) whose id is divisible by ``every``: query_id, rank, vec_id, score of its k nearest."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -159,8 +167,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 20_00
     members = sound.select("vec_id", "vec", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id")).alias("n"), F.first("vec_id").over(by_id).alias("cid")).filter(F.col("n") <= k + 1)
     members = materialize(members, "classes")
     classes = members.filter("n = 1").select("cid", "vec")
-    picked = np.array([r["vec"] for r in classes.orderBy(F.xxhash64("cid"), "cid").limit(sample).collect()])
-    quantizer = fit(picked, width)
+    picked = classes.orderBy(F.xxhash64("cid"), "cid").limit(sample).select("vec").toArrow()
+    quantizer = fit(_matrix(picked.column("vec").combine_chunks(), d), width)
     codes = materialize(classes.mapInArrow(partial(_code, quantizer=quantizer, d=d), "cid long, code binary"), "codes")
     chunks = max(1, -(-codes.count() // chunk))
     queries = materialize(sound.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query")).distinct().dropDuplicates(["query_id"]), "queries")
@@ -168,9 +176,9 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 20_00
     found = None
     for b in range(blocks):
         # Bounded: about ``block`` queries.
-        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").collect()
-        if own:
-            ids, x = np.array([r["query_id"] for r in own]), np.array([r["query"] for r in own])
+        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").toArrow()
+        if own.num_rows:
+            ids, x = own.column("query_id").to_numpy(), _matrix(own.column("query").combine_chunks(), d)
             hits = codes.repartition(chunks).mapInArrow(partial(_scan, quantizer=quantizer, ids=ids, queries=x, rerank=rerank), "query_id long, cid long, approx double")
             best = hits.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("approx"), "cid"))).filter(F.col("n") <= rerank).select("query_id", "cid")
             best = materialize(best, "candidates")
