@@ -16,6 +16,7 @@ labels (0.5 without any). Repeated rows are scored each; other columns are carri
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -93,21 +94,43 @@ class Model:
         return np.clip(out, -30, 30)
 
 
-def _word_scores(sets: list[set[bytes]], y: np.ndarray, least: int = 5) -> dict[bytes, float]:
-    """Log-odds of words that are in at least ``least`` texts and tell the labels apart clearly."""
-    n1, n0 = int(y.sum()), int((1 - y).sum())
+#: Terms are first counted by this many hashes; only those that can matter are then told apart.
+BUCKETS = 1 << 22
+
+
+def _bucket(term: bytes) -> int:
+    return zlib.crc32(term) & (BUCKETS - 1)
+
+
+def _tells(a: np.ndarray, b: np.ndarray, n1: int, n0: int, least: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Of terms in a texts of one label and b of the other: log-odds, and whether enough texts tell the labels apart clearly."""
+    score = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
+    return score, (a + b >= least) & (np.abs(score) >= 1) & (np.abs(score) >= 3 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)))
+
+
+def _term_scores(sets: list[set[bytes]], y: np.ndarray) -> dict[bytes, float]:
+    """Log-odds of the terms that tell the labels apart."""
     c1, c0 = Counter(), Counter()
     for s, label in zip(sets, y, strict=True):
         (c1 if label else c0).update(s)
-    out = {}
-    for w in c1.keys() | c0.keys():
-        a, b = c1[w], c0[w]
-        if a + b >= least:
-            s = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
-            z = s / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-            if abs(z) >= 3 and abs(s) >= 1:
-                out[w] = float(s)
-    return out
+    terms = list(c1.keys() | c0.keys())
+    score, good = _tells(np.array([c1[t] for t in terms], float), np.array([c0[t] for t in terms], float), int(y.sum()), int((1 - y).sum()))
+    return {t: float(x) for t, x, g in zip(terms, score, good, strict=True) if g}
+
+
+def _useful(words: list[bytes], labels: list[list]) -> list[set[bytes]]:
+    """The terms of each text that may tell the labels of a target apart, in all texts or in either half of them."""
+    hashed = [np.unique(np.fromiter(map(_bucket, terms_of(set(w.split()))), np.uint32)) for w in words]
+    may = np.zeros(BUCKETS, bool)
+    for k in range(len(TARGETS)):
+        own = [i for i, y in enumerate(labels) if y[k] in (0, 1)]
+        for part in (own, own[::2], own[1::2]):
+            counts, n = np.zeros((2, BUCKETS), np.float32), [0, 0]
+            for i in part:
+                counts[int(labels[i][k]), hashed[i]] += 1
+                n[int(labels[i][k])] += 1
+            may |= _tells(counts[1], counts[0], n[1], n[0])[1]
+    return [{t for t in terms_of(set(w.split())) if may[_bucket(t)]} for w in words]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -127,8 +150,9 @@ def fit(rows: list[tuple[bytes, list[float], list]]) -> Model:
     """From (the distinct words joined by spaces, shape, labels) of the sample. Word scores that train the weights come from the other half."""
     model = Model([], [], [], [])
     width = len(shape(b"", [], 0)) + 2 * TOP
+    useful = _useful([r[0] for r in rows], [r[2] for r in rows])
     for k in range(len(TARGETS)):
-        own = [(terms_of(set(w.split())), s, int(y[k])) for w, s, y in rows if y[k] in (0, 1)]
+        own = [(t, s, int(y[k])) for t, (_, s, y) in zip(useful, rows, strict=True) if y[k] in (0, 1)]
         y = np.array([r[2] for r in own])
         if len(own) < 20 or y.min() == y.max():
             share = (y.sum() + 1) / (len(y) + 2)
@@ -139,10 +163,10 @@ def fit(rows: list[tuple[bytes, list[float], list]]) -> Model:
             continue
         sets, x = [r[0] for r in own], np.zeros((len(own), width))
         for half in (0, 1):
-            scores = _word_scores(sets[1 - half :: 2], y[1 - half :: 2])
+            scores = _term_scores(sets[1 - half :: 2], y[1 - half :: 2])
             x[half::2] = [[*s, *_strongest(w, scores)] for w, s, _ in own[half::2]]
         mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-        model.scores.append(_word_scores(sets, y))
+        model.scores.append(_term_scores(sets, y))
         model.mean.append(mean)
         model.scale.append(scale)
         model.weights.append(_logistic((x - mean) / scale, y))
