@@ -144,10 +144,14 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpacker = zstandard.ZstdDecompressor()
+    """The wanted lines of each text. Rows that repeat come one after the other and count once; were one to come later, its pairs would just be checked again."""
+    unpacker, last = zstandard.ZstdDecompressor(), None
     for b in batches:
         lids, hs, texts = [], [], []
-        for packed, wanted in zip(b.column("zip").to_pylist(), b.column("wanted").to_pylist(), strict=True):
+        for doc_id, dk, packed, wanted in zip(*(b.column(c).to_pylist() for c in ("doc_id", "dk", "zip", "wanted")), strict=True):
+            if (doc_id, dk) == last:
+                continue
+            last = (doc_id, dk)
             lines = unpacker.decompress(packed).decode("utf-8", "replace").split("\n")
             for w in wanted:
                 lids.append(w["lid"])
@@ -198,8 +202,8 @@ def repeated_lines(docs: DataFrame, k: int = 8, similarity: float = 0.8, bands:
     by_doc = where.groupBy("o.doc_id", "o.dk").agg(F.collect_list(F.struct("lid", "h", F.col("o.line_no").alias("line_no"))).alias("wanted"))
     by_doc = by_doc.select(F.col("doc_id").alias("id"), F.col("dk").alias("key"), "wanted")
     zipped = keyed.mapInArrow(_squeeze, f"doc_id {kind}, dk long, zip binary")
-    texts = zipped.join(by_doc, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("dk") == F.col("key"))).select("zip", "wanted").mapInArrow(_pick, "lid long, h binary, line string")
-    texts = materialize(texts.dropDuplicates(["lid", "h"]), "line-texts")
+    texts = zipped.join(by_doc, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("dk") == F.col("key"))).select("doc_id", "dk", "zip", "wanted").mapInArrow(_pick, "lid long, h binary, line string")
+    texts = materialize(texts, "line-texts")
     one, two = (texts.select(F.col("lid").alias(i), F.col("h").alias(f"h{i}"), F.col("line").alias(f"t{i}")) for i in "ab")
     met = pairs.join(one, "a").join(two, "b").sortWithinPartitions("ha").select("ha", "ta", "hb", "tb")
     found = components(met.mapInArrow(partial(_verify, k=k, similarity=similarity), "a binary, b binary"))
