@@ -134,7 +134,7 @@ def _code(batches: Iterator[pa.RecordBatch], quantizer: Quantizer, d: int) -> It
 
 
 def _scan(batches: Iterator[pa.RecordBatch], quantizer: Quantizer, ids: np.ndarray, queries: np.ndarray, rerank: int) -> Iterator[pa.RecordBatch]:
-    """The best codes of this task for each query."""
+    """The best codes of this task for each query, in one row."""
     got = [(b.column("cid").to_numpy(), np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(b.num_rows, -1)) for b in batches if b.num_rows]
     if not got:
         return
@@ -142,12 +142,33 @@ def _scan(batches: Iterator[pa.RecordBatch], quantizer: Quantizer, ids: np.ndarr
     codes = np.ascontiguousarray(np.concatenate([g[1] for g in got]).T)
     most = min(rerank, len(cid))
     for at in range(0, len(ids), 64):
-        out = []
-        for q, tables in zip(ids[at : at + 64].tolist(), quantizer.tables(queries[at : at + 64]), strict=True):
+        own, scores = [], []
+        for tables in quantizer.tables(queries[at : at + 64]):
             score = reduce(np.add, (t.take(c) for t, c in zip(tables, codes, strict=True)))
             best = np.argpartition(-score, most - 1)[:most]
-            out.append((np.full(most, q), cid[best], score[best].astype(np.float64)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], ["query_id", "cid", "approx"])
+            own.append(cid[best])
+            scores.append(score[best])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 64]), pa.array(own, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float32()))], ["query_id", "cids", "approx"])
+
+
+def _merge(batches: Iterator[pa.RecordBatch], rerank: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by query: of what the tasks have found for one, the best; ties go to the smaller id."""
+
+    def best(query: int, parts: list[tuple[list, list]]) -> pa.RecordBatch:
+        cid, score = (np.concatenate([np.array(p[i]) for p in parts]) for i in (0, 1))
+        top = cid[np.lexsort((cid, -score))[:rerank]]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(top), query)), pa.array(top)], ["query_id", "cid"])
+
+    now, parts = None, []
+    for b in batches:
+        for query, cids, approx in zip(*(b.column(n).to_pylist() for n in ("query_id", "cids", "approx")), strict=True):
+            if query != now and parts:
+                yield best(now, parts)
+                parts = []
+            now = query
+            parts.append((cids, approx))
+    if parts:
+        yield best(now, parts)
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 8192, rerank: int = 100, width: int = 2, block: int = 4096, chunk: int = 16_384) -> DataFrame:
@@ -179,8 +200,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 8192,
         own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").toArrow()
         if own.num_rows:
             ids, x = own.column("query_id").to_numpy(), _matrix(own.column("query").combine_chunks(), d)
-            hits = codes.repartition(chunks).mapInArrow(partial(_scan, quantizer=quantizer, ids=ids, queries=x, rerank=rerank), "query_id long, cid long, approx double")
-            best = hits.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("approx"), "cid"))).filter(F.col("n") <= rerank).select("query_id", "cid")
+            hits = codes.repartition(chunks).mapInArrow(partial(_scan, quantizer=quantizer, ids=ids, queries=x, rerank=rerank), "query_id long, cids array<long>, approx array<float>")
+            best = hits.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(partial(_merge, rerank=rerank), "query_id long, cid long")
             best = materialize(best, "candidates")
             found = best if found is None else found.unionAll(best)
     if found is None:
