@@ -3,7 +3,9 @@
 Lines count by their normal form: lower case, without white space at the ends. The shingles of a line are its runs of
 ``k`` characters (a shorter line: the line itself). One permutation hashing gives a signature of ``bands * rows`` minima in one pass,
 and empty bins borrow from their neighbours. Lines that agree in one band are candidates: small groups
-pair all their lines, and in larger ones each is paired with the line that is in the most of such groups. A candidate pair becomes a link if the exact Jaccard similarity of the shingle sets is at least ``similarity``.
+pair all their lines, and in larger ones each is first paired with the line that is in the most of such groups. A candidate pair becomes a link if the exact Jaccard similarity of the shingle sets is at least ``similarity``.
+Large groups whose lines are not all in one component by then are gone through again: every pair of lines of two components is
+checked, but for those that share none of their rarest shingles, which cannot be similar (prefix filter, exact).
 Union by alternating stars makes components, of which the first line stays, in the order of ids, then of line numbers; all
 other occurrences go, exact copies among them.
 
@@ -13,6 +15,8 @@ by ``drop_repeated_lines``. Null ids come last in order. Rows with equal id and
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -31,6 +35,8 @@ from .winnowing import rolling_hashes
 BLOCK = 1 << 20
 #: Groups of up to so many lines pair all their lines.
 SMALL = 6
+#: Characters of a large group's lines that one task compares with as many others.
+PART = 1 << 20
 
 
 def normal(line: str) -> str:
@@ -124,17 +130,18 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield found(key, lid, np.arange(len(key)), np.zeros(len(key), bool))
 
 
-def _pairs(banded: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b), each once. In a large group every line is paired with the one that is in the most large groups.
+def _pairs(banded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b), each once, and the large groups (key, lid). There every line is paired with the one that is in the most large groups.
 
     Copies of one line need not be near each other, but each shares bands with that line, which so is in more groups than they.
+    Where that is not so, ``_rest`` finds what these pairs miss.
     """
     rows = materialize(banded.repartition("key").sortWithinPartitions("key", "lid").mapInArrow(_candidates, "a long, b long, key long"), "line-groups")
     large = rows.filter("key is not null").select("key", F.col("a").alias("lid")).distinct()
     ranked = large.join(materialize(large.groupBy("lid").agg(F.count("*").alias("n")), "line-ranks"), "lid")
     middle = materialize(ranked.groupBy("key").agg(F.max(F.struct("n", (-F.col("lid")).alias("less"))).alias("m")).select("key", (-F.col("m.less")).alias("to")), "line-middles")
     stars = large.join(middle, "key").filter("lid <> to").select(F.least("lid", "to").alias("a"), F.greatest("lid", "to").alias("b"))
-    return materialize(rows.filter("key is null").select("a", "b").unionAll(stars).distinct(), "line-pairs")
+    return materialize(rows.filter("key is null").select("a", "b").unionAll(stars).distinct(), "line-pairs"), large
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,6 +185,84 @@ def _verify(batches: Iterator[pa.RecordBatch], k: int, similarity: float) -> Ite
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(c, pa.binary())], ["a", "b"])
 
 
+def _across(rows: list[tuple[bytes, int, str]], k: int, similarity: float) -> list[tuple[bytes, bytes]]:
+    """Links that join components of similar lines; rows: root, side (0 is compared within, or 1 with 2) and line.
+
+    Two sets of which the larger has n shingles share at least similarity * n, so they also share one of the n - similarity * n + 1
+    of each that are rarest here.
+    """
+    sets = [shingles(line, k) for _, _, line in rows]
+    often = Counter(s for own in sets for s in own)
+    up = {root: root for root, _, _ in rows}
+
+    def top(root: bytes) -> bytes:
+        while up[root] != root:
+            up[root] = root = up[up[root]]
+        return root
+
+    out, index = [], {}
+    for i in sorted(range(len(rows)), key=lambda i: len(sets[i])):
+        own, (root, side, _) = sets[i], rows[i]
+        n = len(own)
+        tried = set()
+        for s in sorted(own, key=lambda s: (often[s], s))[: n - math.ceil(similarity * n - 1e-9) + 1]:
+            before = index.setdefault(s, [])
+            for j in before:
+                if j in tried or (side and side == rows[j][1]) or len(sets[j]) < similarity * n:
+                    continue
+                tried.add(j)
+                x, y = top(root), top(rows[j][0])
+                if x != y:
+                    shared = len(own & sets[j])
+                    if shared >= similarity * (n + len(sets[j]) - shared):
+                        up[x] = y
+                        out.append((root, rows[j][0]))
+            before.append(i)
+    return out
+
+
+def _across_groups(batches: Iterator[pa.RecordBatch], k: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by group and unit."""
+
+    def found(rows: list[tuple[bytes, int, str]]) -> pa.RecordBatch:
+        links = _across(rows, k, similarity) if len({r[0] for r in rows}) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+    now, rows = None, []
+    for b in batches:
+        for key, unit, *row in zip(*(b.column(c).to_pylist() for c in ("key", "unit", "root", "side", "line")), strict=True):
+            if (key, unit) != now:
+                yield found(rows)
+                now, rows = (key, unit), []
+            rows.append(tuple(row))
+    yield found(rows)
+
+
+def _rest(large: DataFrame, texts: DataFrame, found: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Links (a, b) of roots that are missing in ``found`` (h, root), in large groups whose lines have more roots than one.
+
+    Lines of a group's most frequent root are compared with the others alone, and these with each other. Groups of much text are dealt
+    out: both kinds by hashes into blocks, and each pair of blocks by itself.
+    """
+    rooted = texts.select("lid", "h", F.length("line").alias("size")).join(found, "h", "left").select("lid", "h", "size", F.coalesce("root", "h").alias("root"))
+    members = materialize(large.join(materialize(rooted, "line-rooted"), "lid"), "line-members")
+    by_root = members.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    sums = by_root.groupBy("key").agg(F.count("*").alias("roots"), F.sum("size").alias("size"), F.max(F.struct("n", "root", "size")).alias("main")).filter("roots > 1")
+    blocks = lambda size: F.ceil(size / PART).cast("int")
+    whole = F.col("size") <= PART
+    sums = sums.select("key", F.col("main.root").alias("main"), F.when(whole, 0).otherwise(blocks(F.col("main.size"))).alias("mains"), F.when(whole, 0).otherwise(blocks(F.col("size") - F.col("main.size"))).alias("others"))
+    met = members.drop("size").join(materialize(sums, "line-open"), "key")
+    block = lambda n: F.pmod(F.xxhash64("h"), F.greatest(F.lit(1), F.col(n))).cast("int")
+    own, unit = block("others"), lambda i, j: (i.cast("long") * (1 << 32) + j).alias("unit")
+    # Units (i, j) of others have i <= j < others; those of others with main lines have j >= others.
+    to_others = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.struct(unit(F.least(own, j), F.greatest(own, j)), F.when(j == own, 0).when(own < j, 1).otherwise(2).alias("side")))
+    to_mains = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda j: F.struct(unit(own, F.col("others") + j), F.lit(1).alias("side")))
+    from_mains = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda i: F.struct(unit(i, F.col("others") + block("mains")), F.lit(2).alias("side")))
+    units = F.when(F.col("others") == 0, F.array(F.struct(F.lit(0).cast("long").alias("unit"), F.lit(0).alias("side")))).when(F.col("root") == F.col("main"), from_mains).otherwise(F.concat(to_others, to_mains))
+    dealt = met.withColumn("u", F.explode(units)).select("key", "u.*", "root", "h").join(texts.select("h", "line"), "h").select("key", "unit", "side", "root", "line")
+    return dealt.repartition("key", "unit").sortWithinPartitions("key", "unit").mapInArrow(partial(_across_groups, k=k, similarity=similarity), "a binary, b binary")
+
+
 _LINE_KEY = ("doc_id", "dk")
 
 
@@ -196,7 +281,7 @@ def repeated_lines(docs: DataFrame, k: int = 8, similarity: float = 0.8, bands:
     occ = materialize(keyed.mapInArrow(partial(_occurrences, k=k, bands=bands, rows=rows), f"doc_id {kind}, dk long, line_no int, h binary, bands array<int>"), "line-hashes")
     lid = F.xxhash64("h").bitwiseAND((1 << 48) - 1).alias("lid")  # lines that share one are told apart by h
     banded = occ.select(lid, F.posexplode("bands").alias("band", "v")).select((F.col("band").cast("long") * F.lit(1 << 32) + F.col("v").cast("long")).alias("key"), "lid")
-    pairs = _pairs(banded)
+    pairs, large = _pairs(banded)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
     where = occ.select(lid, "h", _occurrence().alias("o")).join(wanted, "lid", "left_semi").groupBy("lid", "h").agg(F.min("o").alias("o"))
     by_doc = where.groupBy("o.doc_id", "o.dk").agg(F.collect_list(F.struct("lid", "h", F.col("o.line_no").alias("line_no"))).alias("wanted"))
@@ -208,6 +293,11 @@ def repeated_lines(docs: DataFrame, k: int = 8, similarity: float = 0.8, bands:
     met = pairs.join(one, "a").join(two, "b").sortWithinPartitions("ha").select("ha", "ta", "hb", "tb")
     found = components(met.mapInArrow(partial(_verify, k=k, similarity=similarity), "a binary, b binary"))
     found = materialize(found.select(F.col("node").alias("h"), "root"), "line-roots")
+    rest = materialize(_rest(large, texts, found, k, similarity), "line-rest")
+    if not rest.isEmpty():
+        tree = materialize(components(rest), "line-root-roots")  # of roots, so its roots are the smallest of all
+        moved = found.join(tree.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("h", F.coalesce("to", "root").alias("root"))
+        found = materialize(moved.unionAll(tree.select(F.col("node").alias("h"), "root")), "line-roots")
     # Lines that are alone in every sense need no more looking at.
     alike = found.select("h").unionAll(found.select(F.col("root").alias("h"))).distinct().withColumn("linked", F.lit(True))
     classes = occ.groupBy("h").agg(F.min(_occurrence()).alias("o"), F.count("*").alias("n")).join(alike, "h", "left").filter("n > 1 or linked").join(found, "h", "left").select("h", "o", F.coalesce("root", "h").alias("root"))

@@ -296,6 +296,33 @@ def test_lines(docs, rows, none, odd):
     assert lines.report(odd).count() == 6
 
 
+@pytest.mark.parametrize("part", [1 << 20, 4000])
+def test_lines_of_large_groups(spark, part, monkeypatch):
+    """Families of hundreds of copies, of which many are far from any one line: all links of lines that share a band count."""
+    monkeypatch.setattr(lines, "PART", part)
+    rng = random.Random(3)
+    letter = lambda: rng.choice("abcdefghijklmnop")
+    all_lines = []
+    for _ in range(2):
+        base = [letter() for _ in range(160)]
+        for _ in range(100):
+            variant = list(base)
+            for at in rng.sample(range(160), rng.choice([1, 3, 4, 5])):
+                variant[at] = letter().upper() + "#"
+            all_lines.append("".join(variant))
+            for _ in range(2):
+                copy = list(variant)
+                copy[rng.randrange(160)] = letter() + "!"
+                all_lines.append("".join(copy))
+    rng.shuffle(all_lines)
+    sets = [lines.shingles(lines.normal(x), 8) for x in all_lines]
+    signs = lines.signatures([lines.normal(x) for x in all_lines], 8, 12, 4)
+    a, b = np.array([(i, j) for i in range(len(sets)) for j in range(i) if (signs[i] == signs[j]).any() and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]).T
+    root = components.local_roots(len(sets), a, b)
+    got = lines.report(spark.createDataFrame(list(enumerate(all_lines)), "doc_id long, text string").repartition(3))
+    assert {r["doc_id"] for r in got.collect() if r["n_removed"]} == set(np.flatnonzero(root != np.arange(len(root))).tolist())
+
+
 def test_line_signatures_agree():
     rng = random.Random(1)
     hits = tried = 0
