@@ -37,6 +37,8 @@ from .components import components, local_roots
 GROUP_ROWS = 4096
 TILE = 1024
 HOT_ROWS = 32_768
+#: Shingles of the sets of a least shingle's group that one task compares with as many others.
+HOT_SHINGLES = 1 << 23
 
 
 def shingle_hashes(raw: bytes, width: int) -> np.ndarray:
@@ -247,28 +249,36 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int, tables: int) -> Itera
         yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), *columns], [*(b.schema.names[i] for i in keep), "__fp", "__n", "__mins", "__set"])
 
 
-def _runs(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[tuple]]:
-    """Groups of two rows or more; rows come sorted by the first two columns."""
+def _runs(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[tuple, list[list]]]:
+    """Groups of two rows or more; rows come sorted by table, key and unit."""
     now, rows = None, []
     for b in batches:
-        for tab, key, *rest in zip(*(b.column(n).to_pylist() for n in ("tab", "key", *names)), strict=True):
-            if (tab, key) != now:
+        for tab, key, unit, *rest in zip(*(b.column(n).to_pylist() for n in ("tab", "key", "unit", *names)), strict=True):
+            if (tab, key, unit) != now:
                 if len(rows) > 1:
                     yield now, rows
-                now, rows = (tab, key), []
+                now, rows = (tab, key, unit), []
             rows.append(rest)
     if len(rows) > 1:
         yield now, rows
 
 
-def _within(rows: list, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows that begin with a fingerprint and a size: their order by bit counts, and the pairs (of places in it) that can be similar."""
-    prints, sizes = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows])
-    order = np.argsort(np.bitwise_count(prints), kind="stable")
-    p, q = tiled_links(prints[order], None, radius)
-    a, b = sizes[order][p], sizes[order][q]
-    fit = (p != q) & (np.minimum(a, b) >= similarity * np.maximum(a, b))
-    return order, p[fit], q[fit]
+class _Reach:
+    """For rows that begin with a fingerprint, a size and a side (0 is compared within, or 1 with 2): which can be similar. Pairs are not held."""
+
+    def __init__(self, rows: list[list], radius: int, similarity: float):
+        self.prints = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+        self.sizes, self.sides = (np.array([r[i] for r in rows], np.int64) for i in (1, 2))
+        self.radius, self.similarity = radius, similarity
+
+    def of(self, i: int) -> np.ndarray:
+        size = self.sizes[i]
+        near = np.bitwise_count(self.prints ^ self.prints[i]) <= self.radius
+        near &= np.minimum(self.sizes, size) >= self.similarity * np.maximum(self.sizes, size)
+        if self.sides[i]:
+            near &= self.sides != self.sides[i]
+        near[i] = False
+        return np.flatnonzero(near)
 
 
 def _members(batches: Iterator[pa.RecordBatch], radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
@@ -276,11 +286,12 @@ def _members(batches: Iterator[pa.RecordBatch], radius: int, similarity: float)
     out: list[tuple] = []
 
     def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["tab", "key", "fp", "n", "set"])
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], ["tab", "key", "unit", "fp", "n", "side", "set"])
 
-    for (tab, key), rows in _runs(batches, "fp", "n", "set"):
-        order, p, q = _within(rows, radius, similarity)
-        out += ((tab, key, *rows[order[i]]) for i in np.union1d(p, q))
+    for unit, rows in _runs(batches, "fp", "n", "side", "set"):
+        reach = _Reach(rows, radius, similarity)
+        out += ((*unit, *row) for i, row in enumerate(rows) if len(reach.of(i)))
         if len(out) > 50_000:
             yield batch()
             out.clear()
@@ -297,28 +308,21 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
 def _verified(batches: Iterator[pa.RecordBatch], radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
     """Links of each group that span its components of similar sets. Those in the middle are looked at first: one original links its copies."""
     a, c = [], []
-    for _, rows in _runs(batches, "fp", "n", "set", "all"):
-        order, p, q = _within(rows, radius, similarity)
-        n = len(rows)
-        near = np.bincount(np.concatenate([p, q]), minlength=n)
-        first, second = np.where(near[p] >= near[q], p, q), np.where(near[p] >= near[q], q, p)
-        by_middle = np.lexsort((second, first, -near[first]))
-        sets = [np.frombuffer(rows[i][3], np.uint64) for i in order]
-        up = list(range(n))
-
-        def root(i: int, up=up) -> int:
-            while up[i] != i:
-                up[i] = i = up[up[i]]
-            return i
-
-        for i, j in zip(first[by_middle].tolist(), second[by_middle].tolist(), strict=True):
-            x, y = root(i), root(j)
-            if x != y:
-                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if shared >= similarity * (len(sets[i]) + len(sets[j]) - shared):
-                    up[x] = y
-                    a.append(rows[order[i]][2])
-                    c.append(rows[order[j]][2])
+    for _, rows in _runs(batches, "fp", "n", "side", "set", "all"):
+        reach = _Reach(rows, radius, similarity)
+        near = np.array([len(reach.of(i)) for i in range(len(rows))])
+        sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+        root, done = np.arange(len(rows)), np.zeros(len(rows), bool)
+        for i in np.argsort(-near, kind="stable").tolist():
+            others = reach.of(i)
+            for j in others[~done[others] & (root[others] != root[i])].tolist():
+                if root[i] != root[j]:
+                    shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if shared >= similarity * (len(sets[i]) + len(sets[j]) - shared):
+                        root[root == root[j]] = root[i]
+                        a.append(rows[i][3])
+                        c.append(rows[j][3])
+            done[i] = True
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(c, pa.binary())], ["a", "b"])
 
 
@@ -331,19 +335,27 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def similar_links(hashed: DataFrame, classes: DataFrame, width: int, similarity: float, radius: int) -> DataFrame:
     """Links (a, b) of shingle sets that are at least so similar; hashed: the documents, with __h; classes: a row for each __set."""
     tables = F.posexplode("__mins")
-    keyed = classes.select(tables.alias("tab", "key"), F.col("__fp").alias("fp"), F.col("__n").alias("n"), F.col("__set").alias("set"), "__mins").filter("n > 0")
-    hot = materialize(keyed.groupBy("tab", "key").count().filter(F.col("count") > HOT_ROWS).select("tab", "key", F.lit(True).alias("hot")), "hot-minima")
-    if not hot.isEmpty():
-        # Too many to compare in one task: their next minimum splits them, and each table does so in another way.
-        after = F.element_at("__mins", F.pmod(F.col("tab") + 1, F.size("__mins")) + 1)
-        keyed = keyed.join(hot, ["tab", "key"], "left").withColumn("key", F.when(F.col("hot"), F.xxhash64("key", after)).otherwise(F.col("key")))
-    keyed = keyed.select("tab", "key", "fp", "n", "set").repartition("tab", "key").sortWithinPartitions("tab", "key")
-    members = materialize(keyed.mapInArrow(partial(_members, radius=radius, similarity=similarity), "tab int, key long, fp long, n long, set binary"), "near-members")
+    keyed = classes.select(tables.alias("tab", "key"), F.col("__fp").alias("fp"), F.col("__n").alias("n"), F.col("__set").alias("set")).filter("n > 0")
+    sums = keyed.groupBy("tab", "key").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).filter("rows > 1")
+    hot = sums.select("tab", "key", F.greatest(F.ceil(F.col("rows") / HOT_ROWS), F.ceil(F.col("shingles") / HOT_SHINGLES)).cast("int").alias("blocks"))
+    hot = materialize(hot.filter("blocks > 1"), "hot-minima")
+    if hot.isEmpty():
+        dealt = keyed.select("tab", "key", F.lit(0).cast("long").alias("unit"), "fp", "n", F.lit(0).alias("side"), "set")
+    else:
+        # Too many to compare in one task: dealt by hashes into blocks, and each pair of blocks is compared by itself.
+        own = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
+        unit = lambda j: (F.least(own, j).cast("long") * (1 << 32) + F.greatest(own, j)).alias("unit")
+        units = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(unit(j), F.when(j == own, 0).when(own < j, 1).otherwise(2).alias("side")))
+        whole = F.array(F.struct(F.lit(0).cast("long").alias("unit"), F.lit(0).alias("side")))
+        dealt = keyed.join(hot, ["tab", "key"], "left").withColumn("u", F.explode(F.when(F.col("blocks").isNull(), whole).otherwise(units)))
+        dealt = dealt.select("tab", "key", "u.unit", "fp", "n", "u.side", "set")
+    dealt = dealt.repartition("tab", "key", "unit").sortWithinPartitions("tab", "key", "unit")
+    members = materialize(dealt.mapInArrow(partial(_members, radius=radius, similarity=similarity), "tab int, key long, unit long, fp long, n long, side int, set binary"), "near-members")
     wanted = classes.join(members.select(F.col("set").alias("__set")).distinct(), "__set", "left_semi").select(F.col("__set").alias("set"), F.col("__least.doc_id").alias("id"), F.col("__least.__h").alias("k"))
     kind = hashed.schema["doc_id"].dataType.simpleString()
     texts = hashed.select("doc_id", "__h", utf8("text").alias("__raw")).mapInArrow(_squeeze, f"doc_id {kind}, __h long, __zip binary")
     sets = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("__h") == F.col("k"))).select("set", "__zip").mapInArrow(partial(_shingle_sets, width=width), "set binary, all binary").dropDuplicates(["set"])
-    met = members.join(materialize(sets, "shingle-sets"), "set").select("tab", "key", "fp", "n", "set", "all").repartition("tab", "key").sortWithinPartitions("tab", "key")
+    met = members.join(materialize(sets, "shingle-sets"), "set").select("tab", "key", "unit", "fp", "n", "side", "set", "all").repartition("tab", "key", "unit").sortWithinPartitions("tab", "key", "unit")
     return met.mapInArrow(partial(_verified, radius=radius, similarity=similarity), "a binary, b binary")
 
 

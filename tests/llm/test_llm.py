@@ -492,6 +492,29 @@ def test_similar(spark, docs, none, odd, hot, monkeypatch):
         assert sorted(str(r["doc_id"]) for r in simhash.keep_one_similar(odd).collect()) == ["1", "1", "None"]
 
 
+@pytest.mark.parametrize(("rows", "shingles"), [(1, 1 << 23), (1 << 15, 400)])
+def test_similar_hot_groups_lose_no_pair(spark, rows, shingles, monkeypatch):
+    """Pairs just over the similarity, of which every group is hot."""
+    monkeypatch.setattr(simhash, "HOT_ROWS", rows)
+    monkeypatch.setattr(simhash, "HOT_SHINGLES", shingles, raising=False)
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for _ in range(300):
+        base = [word() for _ in range(300)]
+        copy = list(base)
+        for at in rng.sample(range(5, 295, 6), 6):
+            copy[at] = word()
+        texts += [base, copy]
+    texts = [" ".join(t) for t in texts]
+    sets = [np.unique(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    prints = [simhash.fingerprint(x) for x in sets]
+    linked = [len(np.intersect1d(sets[i], sets[i + 1])) >= 0.8 * len(np.union1d(sets[i], sets[i + 1])) and (prints[i] ^ prints[i + 1]).bit_count() <= 20 for i in range(0, 600, 2)]
+    assert sum(linked) > 290
+    got = simhash.keep_one_similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    assert sorted(r["doc_id"] for r in got.collect()) == [i for i in range(600) if i % 2 == 0 or not linked[i // 2]]
+
+
 # Neighbours
 
 
