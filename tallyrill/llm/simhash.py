@@ -236,9 +236,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int, tables: int) -> Itera
     for b in batches:
         prints, sizes, least, sets = [], [], [], []
         for raw in b.column("__raw").to_pylist():
-            hashes = shingle_hashes(raw, width)
-            own = np.unique(hashes)
-            prints.append(fingerprint(hashes))
+            own = np.unique(shingle_hashes(raw, width))
+            prints.append(fingerprint(own))  # repeats do not count, as they do not in the similarity
             sizes.append(len(own))
             sets.append(xxhash.xxh3_128_digest(own.tobytes()))
             with np.errstate(over="ignore"):

@@ -515,6 +515,18 @@ def test_similar_hot_groups_lose_no_pair(spark, rows, shingles, monkeypatch):
     assert sorted(r["doc_id"] for r in got.collect()) == [i for i in range(600) if i % 2 == 0 or not linked[i // 2]]
 
 
+def test_similar_whatever_repeats(spark):
+    """Nearly equal sets of shingles, in texts that differ in how often one phrase repeats."""
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for _ in range(12):
+        words, phrase = [word() for _ in range(1000)], [word() for _ in range(10)]
+        texts += [" ".join([first, *words] + phrase * times) for first, times in (("one", 3), ("other", 1000))]
+    got = simhash.keep_one_similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(0, 24, 2))
+
+
 # Neighbours
 
 
