@@ -34,6 +34,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """The names with a prefix that no column of ``df`` begins with: what is added to ``df`` never hides a column of its own."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
 def utf8(column: str | Column) -> Column:
     """A text as UTF-8 bytes; null counts as empty."""
     c = F.col(column) if isinstance(column, str) else column

@@ -32,8 +32,8 @@ _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _BLOCK = 1 << 18
 
 
-def rolling_hashes(codes: np.ndarray, k: int) -> np.ndarray:
-    """A 32-bit hash of each k-gram: sums of powers, put together from those of shorter grams by doubling."""
+def rolling_hashes(codes: np.ndarray, k: int, bits: int = 32) -> np.ndarray:
+    """A hash of each k-gram: sums of powers, put together from those of shorter grams by doubling."""
     sums, width, power = {}, 1, _BASE
     h = codes.astype(np.uint64) + np.uint64(1)
     powers = {1: power}
@@ -52,7 +52,7 @@ def rolling_hashes(codes: np.ndarray, k: int) -> np.ndarray:
             total = part if total is None else total * powers[width] + part
             done += width
     total = (total ^ (total >> np.uint64(33))) * _MIX
-    return (total ^ (total >> np.uint64(29))) & np.uint64(0xFFFFFFFF)
+    return (total ^ (total >> np.uint64(29))) & np.uint64((1 << bits) - 1)
 
 
 def _sliding_least(x: np.ndarray, window: int) -> np.ndarray:

@@ -323,6 +323,22 @@ def test_lines_of_large_groups(spark, part, monkeypatch):
     assert {r["doc_id"] for r in got.collect() if r["n_removed"]} == set(np.flatnonzero(root != np.arange(len(root))).tolist())
 
 
+def test_lines_of_one_template(spark):
+    """Pairs at 0.81 that share a long template, and are 0.72 from all others."""
+    rng = random.Random(31)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    template, all_lines = word(250), []
+    for _ in range(150):
+        own = word(30)
+        all_lines += [own + template + word(15), own + template + word(15)]
+    rng.shuffle(all_lines)
+    rows = list(enumerate(all_lines))
+    got = lines.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    want = {i for i, gone in lines_gone(rows).items() if gone}
+    found = {r["doc_id"] for r in got.collect() if r["n_removed"]}
+    assert len(want) >= 140 and found <= want and len(found) >= 0.99 * len(want)
+
+
 def test_line_signatures_agree():
     rng = random.Random(1)
     hits = tried = 0
