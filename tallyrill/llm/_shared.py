@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
 from functools import cache
 
@@ -12,6 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The driver's garbage is collected at most so often.
+GC_SECONDS = 3
+_LAST_GC = [0.0]
+
+
 @cache
 def _own_dir() -> str:
     base = tempfile.mkdtemp(prefix="tallyrill-")
@@ -30,7 +36,9 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tallyrill-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     # Shuffle files of what is written by now go when the driver has collected its garbage, which else may take long.
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() - _LAST_GC[0] > GC_SECONDS:
+        spark.sparkContext._jvm.System.gc()
+        _LAST_GC[0] = time.monotonic()
     return spark.read.schema(df.schema).parquet(path)
 
 

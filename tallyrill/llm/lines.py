@@ -2,8 +2,9 @@
 
 Lines count by their normal form: lower case, without white space at the ends. The shingles of a line are its runs of
 ``k`` characters (a shorter line: the line itself). One permutation hashing gives a signature of ``bands * rows`` minima in one pass,
-and empty bins borrow from their neighbours. Lines that agree in one band are candidates. Groups of up to ``SMALL`` lines send on their pairs,
-each of which is checked once; a larger group is compared by itself, every line with every other one that is not yet in its component.
+and empty bins borrow from their neighbours. Lines that agree in one band are candidates: groups of up to ``SMALL`` lines pair all of
+them, and in larger ones each is first paired with the line that is in the most of such groups. Every pair is checked once. A larger
+group whose lines are not all in one component by then is compared by itself, every line with every other one that is not in its component.
 There a bit set of each line's shingles first gives a bound that no similarity exceeds; what may be similar is checked exactly.
 A pair becomes a link if the Jaccard similarity of the shingle sets is at least ``similarity``.
 Union by alternating stars makes components, of which the first line stays, in the order of ids, then of line numbers; all
@@ -11,7 +12,7 @@ other occurrences go, exact copies among them.
 
 Bands are exchanged as sorted blocks, one for each task and part. A task keeps only a few lines of a band that many of its lines share
 for the part, and sends the others straight to the group, so no part holds a group that is hot. Groups of much text are dealt out by
-pairs of blocks: first each block with itself and with the first one, and then what is still in two components.
+pairs of blocks; lines of the group's largest component are compared with the others alone.
 
 Blank lines take no part and stay. Null texts have no lines. A document of which every line that is not blank went is dropped
 by ``drop_repeated_lines``. Null ids come last in order. Rows with equal id and text cannot be told apart: they keep the same lines.
@@ -130,14 +131,14 @@ class Sets:
     def similar(self, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
         """Whether each pair of lines is similar. Where a few equal hashes of different shingles would matter, the shingles themselves decide."""
         out = np.zeros(len(a), bool)
-        step = max(1, (1 << 19) // max(1, int(self.sizes.max(initial=1))))
-        for at in range(0, len(a), step):
-            x, y = a[at : at + step], b[at : at + step]
+        work = np.cumsum(self.sizes[a] + self.sizes[b]) >> 18
+        for at, end in zip(*(np.flatnonzero(np.diff(work, **edge)) for edge in ({"prepend": -1}, {"append": -1})), strict=True):
+            x, y = a[at : end + 1], b[at : end + 1]
             both = np.sort(np.concatenate([self._of(x), self._of(y)]))
             shared = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(BITS)).astype(np.int64), minlength=len(x))
             over = shared * (1 + similarity) - similarity * (self.sizes[x] + self.sizes[y])
-            out[at : at + step] = over >= 0
-            for i in np.flatnonzero(np.abs(over) <= 4).tolist():
+            out[at : end + 1] = over >= 0
+            for i in np.flatnonzero(np.abs(over) <= 2).tolist():
                 one, two = shingles(self.lines[x[i]], self.k), shingles(self.lines[y[i]], self.k)
                 n = len(one & two)
                 out[at + i] = n >= similarity * (len(one) + len(two) - n)
@@ -333,8 +334,9 @@ def group_links(roots: list[bytes], sides: list[int], lines: list[str], k: int,
             if not len(rows):
                 continue
             shared = np.zeros((len(rows), len(columns)), np.int64)
-            for w in range(bits.shape[1]):
-                shared += np.bitwise_count(bits[i + rows, w][:, None] & bits[j + columns, w][None])
+            step = max(1, (1 << 17) // shared.size)
+            for w in range(0, bits.shape[1], step):
+                shared += np.bitwise_count(bits[i + rows, w : w + step][:, None] & bits[j + columns, w : w + step][None]).sum(axis=2, dtype=np.int64)
             shared += np.minimum(lost[i + rows][:, None], lost[j + columns][None]) + 2
             near = near[np.ix_(rows, columns)] & (shared * (1 + similarity) >= similarity * (sizes[i + rows][:, None] + sizes[j + columns][None]))
             a, b = i + rows, j + columns
@@ -342,7 +344,8 @@ def group_links(roots: list[bytes], sides: list[int], lines: list[str], k: int,
                 p = np.flatnonzero(near.any(axis=1))
                 q = near[p].argmax(axis=1)
                 near[p, q] = False
-                for u, v in zip(*(z[sets.similar(order[a[p]], order[b[q]], similarity)].tolist() for z in (a[p], b[q])), strict=True):
+                good = sets.similar(order[a[p]], order[b[q]], similarity)
+                for u, v in zip(a[p][good].tolist(), b[q][good].tolist(), strict=True):
                     if root[u] != root[v]:
                         out.append((roots[order[u]], roots[order[v]]))
                         root[root == root[v]] = root[u]
@@ -369,54 +372,40 @@ def _group_links(batches: Iterator[pa.RecordBatch], k: int, similarity: float) -
         yield found(rows)
 
 
-def _compared(dealt: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Links (a, b) of the roots of ``dealt`` (key, unit, side, root, h)."""
-    met = dealt.join(texts.select("h", "line"), "h").select("key", "unit", "side", "root", "line")
-    return met.repartition("key", "unit").sortWithinPartitions("key", "unit").mapInArrow(partial(_group_links, k=k, similarity=similarity), "a binary, b binary")
+def _stars(large: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each line of the large groups (key, lid) and the group's line that is in the most of them.
 
-
-def _unit(i, j):
-    return (i.cast("long") * (1 << 32) + j).alias("unit")
-
-
-def _hot(members: DataFrame) -> DataFrame:
-    """Groups of too much text for one task: key and how many blocks they are dealt into."""
-    sums = members.groupBy("key").agg(F.sum("size").alias("size"))
-    return materialize(sums.filter(F.col("size") > PART).select("key", F.ceil(F.col("size") / PART).cast("int").alias("blocks")), "line-hot")
-
-
-def _first_units(members: DataFrame, hot: DataFrame) -> DataFrame:
-    """Members with unit and side: a group is a unit; of a hot one, each block by itself and with the first block."""
-    if hot.isEmpty():
-        return members.select("key", F.lit(0).cast("long").alias("unit"), F.lit(0).alias("side"), F.col("h").alias("root"), "h")
-    own, zero = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"), F.lit(0)
-    alone = F.array(F.struct(_unit(own, own), zero.alias("side")))
-    to_first = F.array(F.struct(_unit(zero, own), F.lit(2).alias("side")))
-    from_first = F.transform(F.sequence(F.lit(1), F.col("blocks") - 1), lambda j: F.struct(_unit(zero, j), F.lit(1).alias("side")))
-    units = F.when(F.col("blocks").isNull(), F.array(F.struct(_unit(zero, zero), zero.alias("side")))).when(own == 0, F.concat(alone, from_first)).otherwise(F.concat(alone, to_first))
-    return members.join(hot, "key", "left").withColumn("u", F.explode(units)).select("key", "u.*", F.col("h").alias("root"), "h")
+    Copies of one line need not be near each other, but each shares bands with that line, which so is in more groups than they.
+    Where that is not so, ``_rest`` finds what these pairs miss.
+    """
+    ranked = large.join(materialize(large.groupBy("lid").agg(F.count("*").alias("n")), "line-ranks"), "lid")
+    middle = materialize(ranked.groupBy("key").agg(F.max(F.struct("n", (-F.col("lid")).alias("less"))).alias("m")).select("key", (-F.col("m.less")).alias("to")), "line-middles")
+    return large.join(middle, "key").filter("lid <> to").select(F.least("lid", "to").alias("a"), F.greatest("lid", "to").alias("b"))
 
 
-def _rest(members: DataFrame, hot: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of hot groups whose lines have more roots than one, with unit and side: all pairs of lines but those of the most frequent root.
+def _rest(large: DataFrame, texts: DataFrame, found: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Links (a, b) of roots that are missing in ``found`` (h, root), in large groups whose lines have more roots than one.
 
-    Both kinds are dealt by hashes into blocks, and each pair of blocks by itself.
+    Groups of much text are dealt out: lines of the most frequent root and the others by hashes into blocks, and each pair of blocks by
+    itself, but for those of the most frequent root.
     """
-    members = members.join(hot.select("key"), "key", "left_semi")
-    members = materialize(members.join(found, "h", "left").select("key", "h", "size", F.coalesce("root", "h").alias("root")), "line-hot-members")
+    rooted = texts.select("lid", "h", F.length("line").alias("size")).join(found, "h", "left").select("lid", "h", "size", F.coalesce("root", "h").alias("root"))
+    members = materialize(large.join(materialize(rooted, "line-rooted"), "lid"), "line-members")
     by_root = members.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     sums = by_root.groupBy("key").agg(F.count("*").alias("roots"), F.sum("size").alias("size"), F.max(F.struct("n", "root", "size")).alias("main")).filter("roots > 1")
     blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / PART)).cast("int")
-    sums = sums.select("key", F.col("main.root").alias("main"), blocks(F.col("main.size")).alias("mains"), blocks(F.col("size") - F.col("main.size")).alias("others"))
-    met = members.join(materialize(sums, "line-open"), "key")
-    block = lambda n: F.pmod(F.xxhash64("h"), F.col(n)).cast("int")
-    own = block("others")
+    whole = F.col("size") <= PART
+    sums = sums.select("key", F.col("main.root").alias("main"), F.when(whole, 0).otherwise(blocks(F.col("main.size"))).alias("mains"), F.when(whole, 0).otherwise(blocks(F.col("size") - F.col("main.size"))).alias("others"))
+    met = members.drop("size").join(materialize(sums, "line-open"), "key")
+    block = lambda n: F.pmod(F.xxhash64("h"), F.greatest(F.lit(1), F.col(n))).cast("int")
+    own, unit = block("others"), lambda i, j: (i.cast("long") * (1 << 32) + j).alias("unit")
     # Units (i, j) of others have i <= j < others; those of others with main lines have j >= others.
-    to_others = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.struct(_unit(F.least(own, j), F.greatest(own, j)), F.when(j == own, 0).when(own < j, 1).otherwise(2).alias("side")))
-    to_mains = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda j: F.struct(_unit(own, F.col("others") + j), F.lit(1).alias("side")))
-    from_mains = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda i: F.struct(_unit(i, F.col("others") + block("mains")), F.lit(2).alias("side")))
-    units = F.when(F.col("root") == F.col("main"), from_mains).otherwise(F.concat(to_others, to_mains))
-    return met.withColumn("u", F.explode(units)).select("key", "u.*", "root", "h")
+    to_others = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.struct(unit(F.least(own, j), F.greatest(own, j)), F.when(j == own, 0).when(own < j, 1).otherwise(2).alias("side")))
+    to_mains = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda j: F.struct(unit(own, F.col("others") + j), F.lit(1).alias("side")))
+    from_mains = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda i: F.struct(unit(i, F.col("others") + block("mains")), F.lit(2).alias("side")))
+    units = F.when(F.col("others") == 0, F.array(F.struct(F.lit(0).cast("long").alias("unit"), F.lit(0).alias("side")))).when(F.col("root") == F.col("main"), from_mains).otherwise(F.concat(to_others, to_mains))
+    dealt = met.withColumn("u", F.explode(units)).select("key", "u.*", "root", "h").join(texts.select("h", "line"), "h").select("key", "unit", "side", "root", "line")
+    return dealt.repartition("key", "unit").sortWithinPartitions("key", "unit").mapInArrow(partial(_group_links, k=k, similarity=similarity), "a binary, b binary")
 
 
 _LINE_KEY = ("doc_id", "dk")
@@ -440,9 +429,9 @@ def repeated_lines(docs: DataFrame, k: int = 8, similarity: float = 0.8, bands:
     parts = max(partitions(docs.sparkSession), bands * entries // (8 + 4 * bands) // PART_BANDS)
     banded = signs.mapInArrow(partial(_banded, bands=bands, parts=parts), "part int, block binary")
     groups = materialize(banded.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_candidates, "a long, b long, key long"), "line-groups")
-    pairs = materialize(groups.filter("key is null").select("a", "b").distinct(), "line-pairs")
     large = groups.filter("key is not null").select("key", F.col("a").alias("lid")).distinct()
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("lid")).unionAll(large.select("lid")).distinct()
+    pairs = materialize(groups.filter("key is null").select("a", "b").unionAll(_stars(large)).distinct(), "line-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
     where = occ.select("lid", "h", _occurrence().alias("o")).join(wanted, "lid", "left_semi").groupBy("lid", "h").agg(F.min("o").alias("o"))
     by_doc = where.groupBy("o.doc_id", "o.dk").agg(F.collect_list(F.struct("lid", "h", F.col("o.line_no").alias("line_no"))).alias("wanted"))
     by_doc = by_doc.select(F.col("doc_id").alias("id"), F.col("dk").alias("key"), "wanted")
@@ -450,13 +439,11 @@ def repeated_lines(docs: DataFrame, k: int = 8, similarity: float = 0.8, bands:
     texts = materialize(texts, "line-texts")  # two lines that share a number are told apart by h
     one, two = (texts.select(F.col("lid").alias(i), F.col("h").alias(f"h{i}"), F.col("line").alias(f"t{i}")) for i in "ab")
     met = pairs.join(one, "a").join(two, "b").select("ha", "ta", "hb", "tb")
-    members = materialize(large.join(texts.select("lid", "h", F.length("line").alias("size")), "lid"), "line-members")
-    hot = _hot(members)
-    linked = met.mapInArrow(partial(_verify, k=k, similarity=similarity), "a binary, b binary").unionAll(_compared(_first_units(members, hot), texts, k, similarity))
-    found = components(linked)
+    found = components(met.mapInArrow(partial(_verify, k=k, similarity=similarity), "a binary, b binary"))
     found = materialize(found.select(F.col("node").alias("h"), "root"), "line-roots")
-    if not hot.isEmpty():
-        tree = materialize(components(_compared(_rest(members, hot, found), texts, k, similarity)), "line-root-roots")  # of roots, so its roots are the smallest of all
+    rest = materialize(_rest(large, texts, found, k, similarity), "line-rest")
+    if not rest.isEmpty():
+        tree = materialize(components(rest), "line-root-roots")  # of roots, so its roots are the smallest of all
         moved = found.join(tree.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("h", F.coalesce("to", "root").alias("root"))
         found = materialize(moved.unionAll(tree.select(F.col("node").alias("h"), "root")), "line-roots")
     # Lines that are alone in every sense need no more looking at.
