@@ -12,9 +12,11 @@ forty, are what is sorted:
 2. Each part's runs are merged by a loser tree that holds, for each run, the length of the prefix shared with the last winner.
    Runs whose lengths differ are told apart without a look at the suffixes; others are compared from that length on. The
    merged lengths say which suffixes are equal.
-3. Equal suffixes whose surroundings (all bytes of all windows that hold the anchor) are equal too, by 64-bit hashes, make a class: all
+3. Equal suffixes whose surroundings (all bytes of all windows that hold the anchor) are equal too, by 128-bit hashes, make a class: all
    but its first are covered whole. (Tasks already send only the first of theirs.) The firsts of different classes with one suffix are
-   compared byte by byte, in groups that share ``SHARED`` bytes after or before the anchor, as two equal windows must.
+   compared in groups that share half of a window's free bytes after or before the anchor, as two equal windows must: few by their
+   bytes, more by 128-bit hashes of their windows, one distance from the anchor at a time. Groups over ``HOT`` are not gathered at all: their
+   windows' hashes are grouped by Spark, which keeps the least place of each.
 4. The covered spans are united for each document.
 
 Null texts count as empty; null ids come last in order. Rows of equal id and text count as one document, those of an equal id and
@@ -33,39 +35,23 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ._shared import materialize, partitions, utf8
+from ._shared import materialize, own_names, partitions, utf8
 from .winnowing import _sliding_least, rolling_hashes
 
 #: Bytes of a suffix that are sorted: as many as all windows of an anchor share at least.
 GRAM = 24
-#: Suffixes that a task sorts at a time.
-RUN = 400_000
+#: Suffixes that a task sorts at a time; and bytes of text whose suffixes a part should hold.
+RUN = 200_000
+PART_BYTES = 1 << 23
+#: Rows of a group that one task compares.
+HOT = 1 << 15
 _BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LAST = np.iinfo(np.int64).max
 
 
-class _Powers:
-    """Powers of an odd base modulo 2^64, and of its inverse, as far as they have been needed."""
-
-    def __init__(self):
-        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def grow(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            with np.errstate(over="ignore"):
-                for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-                    x = np.full(n, base, np.uint64)
-                    x[0] = 1
-                    setattr(self, name, np.multiply.accumulate(x))
-
-
-_POWERS = _Powers()
-
-
 def anchors(codes: np.ndarray, length: int) -> np.ndarray:
     """The anchors of all windows of ``length`` bytes, ascending."""
     window, grams = length - GRAM + 1, len(codes) - GRAM + 1
@@ -79,21 +65,16 @@ def anchors(codes: np.ndarray, length: int) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
-def surroundings(codes: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each anchor a hash of the bytes of all windows that hold it, and how many of these come from it on."""
-    n = len(codes)
-    _POWERS.grow(n + 1)
-    start, end = np.maximum(at - (length - GRAM), 0), np.minimum(at + length, n)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _POWERS.up[:n], dtype=np.uint64)])
-        h = (sums[end] - sums[start]) * _POWERS.down[start]
-        h ^= ((at - start) * 1009 + (end - at)).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xFF51AFD7ED558CCD)
-    return h, (end - at).astype(np.uint16)
+def surroundings(raw: bytes, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each anchor a hash of the bytes of all windows that hold it (two 64-bit numbers), and how many of these come from it on."""
+    start, end = np.maximum(at - (length - GRAM), 0), np.minimum(at + length, len(raw))
+    digest = xxhash.xxh3_128_digest
+    h = b"".join([digest(raw[i:j], n) for i, j, n in zip(start.tolist(), end.tolist(), (at - start).tolist(), strict=True)])
+    return np.frombuffer(h, np.uint64).reshape(-1, 2), (end - at).astype(np.uint16)
 
 
 # A block: a run's part, front-coded. Columns: shared lengths, rests, surroundings' hashes, ids, hashes of texts, places, bytes from the place on.
-_COLUMNS = (("hash", np.uint64), ("doc", np.int64), ("dk", np.int32), ("at", np.int32), ("ahead", np.uint16))
+_COLUMNS = (("hash", np.uint64), ("more", np.uint64), ("doc", np.int64), ("dk", np.int32), ("at", np.int32), ("ahead", np.uint16))
 
 
 def front_code(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,9 +225,9 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterato
             mixed = (words * np.array([_BASE, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)).sum(axis=1, dtype=np.uint64)
             mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
         part = ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
-        order = np.lexsort((columns["at"], columns["dk"], columns["doc"], columns["hash"], words[:, 2], words[:, 1], words[:, 0], part))
+        order = np.lexsort((columns["at"], columns["dk"], columns["doc"], columns["more"], columns["hash"], words[:, 2], words[:, 1], words[:, 0], part))
         keys, part, columns = keys[order], part[order], {c: x[order] for c, x in columns.items()}
-        same = (keys[1:] == keys[:-1]).all(axis=1) & (columns["hash"][1:] == columns["hash"][:-1])
+        same = (keys[1:] == keys[:-1]).all(axis=1) & (columns["hash"][1:] == columns["hash"][:-1]) & (columns["more"][1:] == columns["more"][:-1])
         first = np.concatenate([[True], ~same])
         lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
         own = (columns["doc"] == columns["doc"][lead]) & (columns["dk"] == columns["dk"][lead]) & (columns["at"] == columns["at"][lead])
@@ -261,17 +242,19 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterato
         return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
 
     for b in batches:
-        for doc, dk, raw in zip(b.column("doc").to_pylist(), b.column("dk").to_pylist(), b.column("__raw").to_pylist(), strict=True):
+        for doc, dk, raw in zip(b.column("doc").to_pylist(), b.column("dk").to_pylist(), b.column("raw"), strict=True):
+            raw = raw.as_py()
             if len(raw) < length:
                 continue
             codes = np.frombuffer(raw, np.uint8)
-            at = anchors(codes, length)
-            h, ahead = surroundings(codes, at, length)
-            n = len(at)
-            held.append((np.lib.stride_tricks.sliding_window_view(codes, GRAM)[at], h, np.full(n, doc, np.int64), np.full(n, dk, np.int32), at.astype(np.int32), ahead))
-            count += n
-            if count >= RUN:
-                yield flush()
+            every = anchors(codes, length)
+            for at in np.split(every, range(RUN, len(every), RUN)):
+                h, ahead = surroundings(raw, at, length)
+                n = len(at)
+                held.append((np.lib.stride_tricks.sliding_window_view(codes, GRAM)[at], h[:, 0], h[:, 1], np.full(n, doc, np.int64), np.full(n, dk, np.int32), at.astype(np.int32), ahead))
+                count += n
+                if count >= RUN:
+                    yield flush()
     if held:
         yield flush()
 
@@ -296,9 +279,9 @@ def _merge_parts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
         several = np.bincount(group)[group] > 1
         index, group = index[several], group[several]
         every = {c: np.concatenate([o[c] for o in columns])[index] for c, _ in _COLUMNS}
-        order = np.lexsort((every["at"], every["dk"], every["doc"], every["hash"], group))
+        order = np.lexsort((every["at"], every["dk"], every["doc"], every["more"], every["hash"], group))
         group, every = group[order], {c: x[order] for c, x in every.items()}
-        first = np.concatenate([[True], (group[1:] != group[:-1]) | (every["hash"][1:] != every["hash"][:-1])]) if len(group) else np.zeros(0, bool)
+        first = np.concatenate([[True], (group[1:] != group[:-1]) | (every["hash"][1:] != every["hash"][:-1]) | (every["more"][1:] != every["more"][:-1])]) if len(group) else np.zeros(0, bool)
         lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
         own = (every["doc"] == every["doc"][lead]) & (every["dk"] == every["dk"][lead]) & (every["at"] == every["at"][lead])
         yield _found([_united(*_spans(every, np.flatnonzero(~first & ~own), length))], False)
@@ -308,7 +291,8 @@ def _merge_parts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
 
     now, held = None, []
     for b in batches:
-        for part, block in zip(b.column("part").to_pylist(), b.column("block").to_pylist(), strict=True):
+        for part, block in zip(b.column("part").to_pylist(), b.column("block"), strict=True):
+            block = block.as_py()
             if part < 0:
                 n = len(block) // 28
                 yield _found([(np.frombuffer(block, np.int64, n), np.frombuffer(block, np.int32, n, 8 * n), np.frombuffer(block, np.int64, n, 12 * n), np.frombuffer(block, np.int64, n, 20 * n))], False)
@@ -322,12 +306,11 @@ def _merge_parts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
         yield from merged(held)
 
 
-def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts (__raw) become zipped ones (__zip, the last column): less to shuffle."""
-    packer = zstandard.ZstdCompressor(level=3)
+def _squeeze(batches: Iterator[pa.RecordBatch], raw: str) -> Iterator[pa.RecordBatch]:
+    """Texts (the column ``raw``, the last one) become zipped ones: less to shuffle."""
+    packer = zstandard.ZstdCompressor(level=1)
     for b in batches:
-        keep = [i for i, n in enumerate(b.schema.names) if n != "__raw"]
-        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array([packer.compress(r) for r in b.column("__raw").to_pylist()], pa.binary())], [*(b.schema.names[i] for i in keep), "__zip"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([packer.compress(r.as_py()) for r in b.column(raw)], pa.binary())], b.schema.names)
 
 
 def _sides(length: int) -> tuple[tuple[int, int], tuple[int, int]]:
@@ -338,22 +321,32 @@ def _sides(length: int) -> tuple[tuple[int, int], tuple[int, int]]:
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     unpacker, (one, two) = zstandard.ZstdDecompressor(), _sides(length)
-    half = one[0]
+    half, rows = one[0], []
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+
+    def made() -> pa.RecordBatch:
+        columns = [[r[i] for r in rows] for i in range(6)]
+        columns[0] = np.array(columns[0], np.uint64).view(np.int64)
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _CONTEXT)
+
     for b in batches:
-        rows = []
-        for doc, dk, packed, places in zip(*(b.column(c).to_pylist() for c in ("doc", "dk", "__zip", "places")), strict=True):
-            raw = unpacker.decompress(packed)
-            for at in places:
+        for doc, dk, packed, places in zip(b.column("doc").to_pylist(), b.column("dk").to_pylist(), b.column("raw"), b.column("places"), strict=True):
+            raw = unpacker.decompress(packed.as_py())
+            for at in places.values.to_numpy().tolist():
                 if at + length - half <= len(raw):  # what all windows of the first kind share
                     start = max(0, at - one[0])
                     rows.append((xxhash.xxh3_64_intdigest(raw[at : at + length - half], 1), doc, dk, at, at - start, raw[start : at + one[1]]))
                 if at >= half:
                     start = max(0, at - two[0])
                     rows.append((xxhash.xxh3_64_intdigest(raw[at - half : at + GRAM], 2), doc, dk, at, at - start, raw[start : at + two[1]]))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-        columns = [[r[i] for r in rows] for i in range(6)]
-        columns[0] = np.array(columns[0], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "doc", "dk", "at", "before", "bytes"])
+                if len(rows) >= 8192:
+                    yield made()
+    yield made()
+
+
+_CONTEXT = ["key", "doc", "dk", "at", "before", "bytes"]
+_CONTEXT_SCHEMA = "key long, doc long, dk int, at long, before int, bytes binary"
 
 
 def _shared_after(a: bytes, b: bytes) -> int:
@@ -379,26 +372,52 @@ def _compare_few(rows: list[tuple], length: int) -> list[tuple[int, int, int, in
     return out
 
 
-def _compare_many(rows: list[tuple], length: int) -> list[tuple[int, int, int, int]]:
-    """By hashes of the windows at each distance from the anchor: all but the first of equal ones are covered."""
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def _window_hashes(table: np.ndarray, length: int) -> Iterator[np.ndarray]:
+    """Of a table of bytes, a row each, the two hashes of each row's window at each place in turn: polynomials modulo 2^64, mixed."""
+    with np.errstate(over="ignore"):
+        wide = table[:, :length].astype(np.uint64) + np.uint64(1)
+        tops = [np.uint64(pow(b, length - 1, 1 << 64)) for b in _BASES]
+        now = []
+        for b in _BASES:
+            powers = np.array([pow(b, length - 1 - i, 1 << 64) for i in range(length)], np.uint64)
+            now.append((wide * powers).sum(axis=1, dtype=np.uint64))
+        del wide
+        for at in range(table.shape[1] - length + 1):
+            yield np.stack([(h ^ (h >> np.uint64(29))) * np.uint64(0xFF51AFD7ED558CCD) for h in now], axis=1)
+            if at + length < table.shape[1]:
+                first, new = (table[:, c].astype(np.uint64) + np.uint64(1) for c in (at, at + length))
+                now = [(h - first * top) * np.uint64(b) + new for h, top, b in zip(now, tops, _BASES, strict=True)]
+
+
+def _table(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows' bytes, with the anchors in one column, and how many are before and from the anchor on."""
     before = np.array([r[3] for r in rows])
     ahead = np.array([len(r[4]) for r in rows]) - before
-    most, width = int(before.max()), int(before.max() + ahead.max())
-    table = np.zeros((len(rows), width), np.uint64)
+    most = int(before.max())
+    table = np.zeros((len(rows), most + int(ahead.max())), np.uint8)
     for i, r in enumerate(rows):
         table[i, most - r[3] : most - r[3] + len(r[4])] = np.frombuffer(r[4], np.uint8)
-    _POWERS.grow(width + 1)
+    return table, before, ahead
+
+
+def _compare_many(rows: list[tuple], length: int) -> list[tuple[int, int, int, int]]:
+    """By hashes of the windows at each distance from the anchor: all but the first of equal ones are covered."""
+    table, before, ahead = _table(rows)
+    most = int(before.max())
     covered = np.zeros((len(rows), most + 3), bool)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros((len(rows), 1), np.uint64), np.cumsum((table + np.uint64(1)) * _POWERS.up[:width], axis=1, dtype=np.uint64)], axis=1)
-        for back in range(most + 1):
-            at, end = most - back, most - back + length
-            have = np.flatnonzero((before >= back) & (ahead >= length - back))
-            if end <= width and len(have) > 1:
-                h = (sums[have, end] - sums[have, at]) * _POWERS.down[at]
-                later = np.ones(len(have), bool)
-                later[np.unique(h, return_index=True)[1]] = False
-                covered[have[later], back + 1] = True
+    for at, h in enumerate(_window_hashes(table, length)):
+        back = most - at
+        if back < 0:
+            break
+        have = np.flatnonzero((before >= back) & (ahead >= length - back))
+        if len(have) > 1:
+            own = h[have]
+            order = np.lexsort((have, own[:, 1], own[:, 0]))
+            later = (own[order[1:]] == own[order[:-1]]).all(axis=1)
+            covered[have[order[1:][later]], back + 1] = True
     edge = np.diff(covered.astype(np.int8), axis=1)
     row, low = np.nonzero(edge == 1)
     _, high = np.nonzero(edge == -1)
@@ -407,40 +426,79 @@ def _compare_many(rows: list[tuple], length: int) -> list[tuple[int, int, int, i
 
 def _compare(batches: Iterator[pa.RecordBatch], length: int, few: int = 16) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by key and order of place."""
+
+    def found(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
+        return (_compare_few if len(rows) <= few else _compare_many)(rows, length) if len(rows) > 1 else []
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return _found([tuple(np.array([o[i] for o in out], np.int64) for i in range(4))], False)
+
     now, rows = None, []
     for b in batches:
         out = []
-        for key, *row in zip(*(b.column(c).to_pylist() for c in ("key", "doc", "dk", "at", "before", "bytes")), strict=True):
+        for key, doc, dk, at, before, own in zip(*(b.column(c).to_pylist() for c in _CONTEXT[:-1]), b.column("bytes"), strict=True):
             if key != now:
-                if len(rows) > 1:
-                    out += (_compare_few if len(rows) <= few else _compare_many)(rows, length)
+                out += found(rows)
                 now, rows = key, []
-            if not rows or rows[-1][:3] != row[:3]:  # rows of equal id and text are one document
-                rows.append(row)
-        yield _found([tuple(np.array([o[i] for o in out], np.int64) for i in range(4))], False)
-    if len(rows) > 1:
-        out = (_compare_few if len(rows) <= few else _compare_many)(rows, length)
-        yield _found([tuple(np.array([o[i] for o in out], np.int64) for i in range(4))], False)
+            if not rows or rows[-1][:3] != (doc, dk, at):  # rows of equal id and text are one document
+                rows.append((doc, dk, at, before, own.as_py()))
+        yield made(out)
+    yield made(found(rows))
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    """docs with __doc, __dk and __raw."""
-    return docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("__dk", F.xxhash64("text").bitwiseAND(0x7FFFFFFF).cast("int")).withColumn("__raw", utf8("text"))
+def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """A row for each window of the rows' anchors: its hash and where it is."""
+    names = ["h", "more", "doc", "dk", "start"]
+    for b in batches:
+        for at in range(0, b.num_rows, 1024):
+            part = b.slice(at, 1024)
+            places = np.stack([part.column(c).to_numpy().astype(np.int64) for c in ("doc", "dk", "at")], axis=1)
+            rows = [(0, 0, 0, n, raw.as_py()) for n, raw in zip(part.column("before").to_pylist(), part.column("bytes"), strict=True)]
+            table, before, ahead = _table(rows)
+            most = int(before.max())
+            for c, h in enumerate(_window_hashes(table, length)):
+                back = most - c
+                have = np.flatnonzero((before >= back) & (ahead >= length - back)) if back >= 0 else []
+                if len(have):
+                    columns = (h[have, 0].view(np.int64), h[have, 1].view(np.int64), places[have, 0], places[have, 1].astype(np.int32), places[have, 2] - back)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
+
+
+def _hot_spans(contexts: DataFrame, length: int) -> DataFrame:
+    """What is covered in groups that are too large to gather: a window each. Sums of no group's rows, only the least place of each hash, are kept."""
+    windows = materialize(contexts.mapInArrow(partial(_windows, length=length), "h long, more long, doc long, dk int, start long").distinct(), "hot-windows")
+    place = F.struct("doc", "dk", "start")
+    first = windows.groupBy("h", "more").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    again = windows.join(materialize(first, "hot-firsts"), ["h", "more"]).filter(place != F.col("first"))
+    return again.select("doc", "dk", "start", (F.col("start") + length).alias("end"), F.lit(False).alias("ask")).distinct()
+
+
+def _placed(docs: DataFrame, *names: str) -> DataFrame:
+    """docs with columns of these names: the id in the order of ids, a hash of the text, and its bytes."""
+    doc, dk, raw = names
+    return docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn(dk, F.xxhash64("text").bitwiseAND(0x7FFFFFFF).cast("int")).withColumn(raw, utf8("text"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """Covered spans, not yet united: doc (id; the largest long for null), dk (hash of the text), start, end."""
     count = partitions(docs.sparkSession)
-    placed = _placed(docs.select("doc_id", "text"))
-    source = placed.select(F.col("__doc").alias("doc"), F.col("__dk").alias("dk"), "__raw")
-    blocks = source.mapInArrow(partial(_runs, length=length, parts=2 * count), "part int, block binary")
-    found = blocks.repartition(count, "part").sortWithinPartitions("part").mapInArrow(partial(_merge_parts, length=length), _FOUND_SCHEMA)
+    source = _placed(docs.select("doc_id", "text"), "doc", "dk", "raw").select("doc", "dk", "raw")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(2 * count, size // PART_BYTES)
+    blocks = source.mapInArrow(partial(_runs, length=length, parts=parts), "part int, block binary")
+    found = blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(partial(_merge_parts, length=length), _FOUND_SCHEMA)
     found = materialize(found, "suffix-groups")
     asked = found.filter("ask").groupBy("doc", "dk").agg(F.collect_set("start").alias("places"))
-    texts = source.mapInArrow(_squeeze, "doc long, dk int, __zip binary")
-    contexts = texts.join(asked, ["doc", "dk"]).mapInArrow(partial(_contexts, length=length), "key long, doc long, dk int, at long, before int, bytes binary")
-    compared = contexts.repartition("key").sortWithinPartitions("key", "doc", "dk", "at").mapInArrow(partial(_compare, length=length), _FOUND_SCHEMA)
-    return found.filter("not ask").unionAll(compared).select("doc", "dk", "start", "end")
+    texts = source.mapInArrow(partial(_squeeze, raw="raw"), "doc long, dk int, raw binary")
+    contexts = materialize(texts.join(asked, ["doc", "dk"]).select("doc", "dk", "raw", "places").mapInArrow(partial(_contexts, length=length), _CONTEXT_SCHEMA), "contexts")
+    sizes = contexts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    hot = materialize(sizes.filter(F.col("n") > HOT).select("key"), "hot-contexts")
+    spans = found.filter("not ask")
+    if not hot.isEmpty():
+        spans = spans.unionAll(_hot_spans(contexts.join(hot, "key", "left_semi").select(_CONTEXT), length))
+        contexts = contexts.join(hot, "key", "left_anti").select(_CONTEXT)
+    compared = contexts.repartition(parts, "key").sortWithinPartitions("key", "doc", "dk", "at").mapInArrow(partial(_compare, length=length), _FOUND_SCHEMA)
+    return spans.unionAll(compared).select("doc", "dk", "start", "end")
 
 
 def united(spans: list) -> list[tuple[int, int]]:
@@ -461,40 +519,50 @@ def _cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def _apply(batches: Iterator[pa.RecordBatch], digests: bool) -> Iterator[pa.RecordBatch]:
+def _united_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of each batch, united where they touch: far fewer rows to shuffle."""
+    for b in batches:
+        parts = _united(*(b.column(c).to_numpy() for c in ("doc", "dk", "start", "end")))
+        yield pa.RecordBatch.from_arrays([pa.array(p) for p in parts], ["doc", "dk", "start", "end"])
+
+
+def _apply(batches: Iterator[pa.RecordBatch], digests: bool, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The last two columns, zipped texts and spans, become the results, of these names."""
     unpacker = zstandard.ZstdDecompressor()
     for b in batches:
+        *carried, texts, spans_of = b.columns
         sizes, gone, counts, kept = [], [], [], []
-        for packed, spans in zip(b.column("__zip").to_pylist(), b.column("__spans").to_pylist(), strict=True):
-            raw, spans = unpacker.decompress(packed), united(spans or [])
+        for packed, spans in zip(texts, spans_of, strict=True):
+            raw, spans = unpacker.decompress(packed.as_py()), united(spans.as_py() or [])
             left = _cut(raw, spans)
             sizes.append(len(raw))
             gone.append(len(raw) - len(left))
             counts.append(len(spans))
             # A cut may go through a character, whose other bytes go with it.
             kept.append(hashlib.sha256(left).hexdigest() if digests else left.decode("utf-8", "ignore"))
-        names = [n for n in b.schema.names if n not in ("__zip", "__spans")]
-        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *(pa.array(x, pa.int64()) for x in (sizes, gone, counts)), pa.array(kept, pa.string())], [*names, *_APPLIED])
-
-
-_APPLIED = ("__n_bytes", "__n_removed", "__n_spans", "__kept")
+        yield pa.RecordBatch.from_arrays([*carried, *(pa.array(x, pa.int64()) for x in (sizes, gone, counts)), pa.array(kept, pa.string())], [*b.schema.names[:-2], *names])
 
 
-def _applied(docs: DataFrame, length: int, digests: bool, *carried: str) -> DataFrame:
-    spans = materialize(repeated_spans(docs, length), "spans").groupBy(F.col("doc").alias("__at_doc"), F.col("dk").alias("__at_dk")).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
-    rows = _placed(docs).select(*carried, "__doc", "__dk", "__raw")
-    zipped = rows.mapInArrow(_squeeze, StructType([*rows.schema.fields[:-1], StructField("__zip", BinaryType())]))
-    met = zipped.join(spans, (F.col("__doc") == F.col("__at_doc")) & (F.col("__dk") == F.col("__at_dk")), "left").select(*carried, "__zip", "__spans")
-    return met.mapInArrow(partial(_apply, digests=digests), StructType([*met.schema.fields[:-2], *(StructField(n, LongType()) for n in _APPLIED[:-1]), StructField("__kept", StringType())]))
+def _applied(docs: DataFrame, length: int, digests: bool, names: list[str], *carried: str) -> DataFrame:
+    """The carried columns, and under these names: bytes, removed bytes, spans, and what is kept."""
+    doc, dk, raw, at_doc, at_dk, spans = own_names(docs, "doc", "dk", "raw", "at_doc", "at_dk", "spans")
+    found = materialize(repeated_spans(docs, length), "spans").mapInArrow(_united_spans, "doc long, dk int, start long, end long")
+    found = found.groupBy(F.col("doc").alias(at_doc), F.col("dk").alias(at_dk)).agg(F.collect_list(F.struct("start", "end")).alias(spans))
+    kept = [F.col(f"`{c}`") for c in carried]
+    rows = _placed(docs, doc, dk, raw).select(*kept, doc, dk, raw)
+    zipped = rows.mapInArrow(partial(_squeeze, raw=raw), rows.schema)
+    met = zipped.join(found, (F.col(doc) == F.col(at_doc)) & (F.col(dk) == F.col(at_dk)), "left").select(*kept, raw, spans)
+    return met.mapInArrow(partial(_apply, digests=digests, names=names), StructType([*met.schema.fields[:-2], *(StructField(n, LongType()) for n in names[:-1]), StructField(names[-1], StringType())]))
 
 
 def digests(docs: DataFrame, length: int = 100) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return _applied(docs, length, True, "doc_id").select("doc_id", *(F.col(f"__{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans")), F.col("__kept").alias("kept_sha256"))
+    return _applied(docs, length, True, ["n_bytes", "n_removed", "n_spans", "kept_sha256"], "doc_id")
 
 
 def remove_repeated(docs: DataFrame, length: int = 100) -> DataFrame:
     """The rows of ``docs`` with what is left of their texts; those that lost all of it are dropped."""
     others = [c for c in docs.columns if c != "text"]
-    out = _applied(docs, length, False, *others).filter((F.col("__n_removed") == 0) | (F.trim("__kept") != ""))
-    return out.withColumn("text", F.col("__kept")).select(*docs.columns)
+    names = own_names(docs, "n_bytes", "n_removed", "n_spans", "kept")
+    out = _applied(docs, length, False, names, *others).filter((F.col(names[1]) == 0) | (F.trim(names[3]) != ""))
+    return out.withColumn("text", F.col(names[3])).select(*(F.col(f"`{c}`") for c in docs.columns))

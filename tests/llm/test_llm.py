@@ -165,9 +165,10 @@ def test_suffixes(docs, rows):
     assert got == removed(rows)
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_suffixes_of_few_letters(spark, seed):
-    """Many surroundings of few suffixes: both ways to compare are used."""
+@pytest.mark.parametrize(("seed", "hot"), [(0, 1 << 15), (1, 1 << 15), (1, 3)])
+def test_suffixes_of_few_letters(spark, seed, hot, monkeypatch):
+    """Many surroundings of few suffixes: all ways to compare are used."""
+    monkeypatch.setattr(suffixes, "HOT", hot)
     rng = random.Random(seed)
     parts = ["".join(rng.choice("ab") for _ in range(rng.choice([40, 70, 130]))) for _ in range(6)]
     rows = [(i, "".join(rng.choice(parts) if rng.random() < 0.7 else "".join(rng.choice("abc") for _ in range(30)) for _ in range(8))) for i in range(60)]
