@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ._shared import materialize, utf8
+from ._shared import materialize, own_names, utf8
 
 #: Bytes that are no part of a word become spaces.
 _WORDS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -187,7 +187,9 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Model:
     """Fit on at most ``sample`` labelled ids, those of the smallest hashes."""
     picked = labels.filter("doc_id is not null").groupBy("doc_id").agg(*(F.max(t).cast("int").alias(t) for t in TARGETS)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most ``sample`` rows of three numbers.
-    rows = docs.select("doc_id", utf8("text").alias("raw")).join(F.broadcast(picked), "doc_id").select("raw", *TARGETS)
+    rows = docs.select("doc_id", utf8("text").alias("raw")).join(F.broadcast(picked), "doc_id")
+    # One text for each id, so the driver gets no more than ``sample`` rows however often ids repeat.
+    rows = rows.groupBy("doc_id", *TARGETS).agg(F.min_by("raw", F.xxhash64("raw")).alias("raw")).select("raw", *TARGETS)
     got = rows.mapInArrow(_describe, "words binary, shape array<double>, quality int, toxic int").collect()
     return fit(sorted((bytes(r["words"]), list(r["shape"]), [r[t] for t in TARGETS]) for r in got if r["words"] is not None))
 
@@ -195,18 +197,26 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Model:
 _SCORED = ("__q", "__t")
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model: Model, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The last column, texts, becomes log-odds, in blocks of a bounded number of bytes."""
     for b in batches:
-        odds = model.log_odds(b.column("__raw").to_pylist())
-        keep = [i for i, n in enumerate(b.schema.names) if n != "__raw"]
-        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(odds[:, 0]), pa.array(odds[:, 1])], [*(b.schema.names[i] for i in keep), *_SCORED])
+        odds, block, size = [], [], 0
+        for raw in b.columns[-1]:
+            block.append(raw.as_py())
+            size += len(block[-1])
+            if size > 1 << 22 or len(block) >= 1024:
+                odds.append(model.log_odds(block))
+                block, size = [], 0
+        odds = np.concatenate([*odds, model.log_odds(block)])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(odds[:, 0]), pa.array(odds[:, 1])], [*b.schema.names[:-1], *names])
 
 
-def evidence(docs: DataFrame, model: Model, *carried: str) -> DataFrame:
-    """The carried columns of ``docs``, with __q and __t: log-odds of quality and toxicity by the document alone."""
-    kept = docs.select(*carried)
-    schema = StructType([*kept.schema.fields, *(StructField(n, DoubleType()) for n in _SCORED)])
-    return docs.select(*carried, utf8("text").alias("__raw")).mapInArrow(partial(_score, model=model), schema)
+def evidence(docs: DataFrame, model: Model, *carried: str, names: tuple[str, ...] = _SCORED) -> DataFrame:
+    """The carried columns of ``docs``, and under ``names`` the log-odds of quality and toxicity by the document alone."""
+    kept = docs.select(*(F.col(f"`{c}`") for c in carried))
+    (raw,) = own_names(kept, "raw")
+    schema = StructType([*kept.schema.fields, *(StructField(n, DoubleType()) for n in names)])
+    return docs.select(*kept.columns, utf8("text").alias(raw)).mapInArrow(partial(_score, model=model, names=list(names)), schema)
 
 
 def site_columns(docs: DataFrame) -> tuple:
@@ -268,24 +278,32 @@ def sites(scored: DataFrame) -> DataFrame:
 BROADCAST_SITES = 200_000
 
 
-def judge(docs: DataFrame, model: Model, *carried: str, least_quality: float = 0.5, most_toxic: float = 0.5) -> DataFrame:
-    """The carried columns, with __p_quality and __p_toxic (posteriors), the site's means, and __keep."""
-    host, path = site_columns(docs)
-    placed = docs.withColumn("__host", host).withColumn("__path", path)
-    by_site = sites(materialize(evidence(placed, model, "__host", "__path"), "evidence"))
+def judge(docs: DataFrame, model: Model, *carried: str, least_quality: float = 0.5, most_toxic: float = 0.5) -> tuple[DataFrame, str]:
+    """The carried columns and, with a prefix that is returned too, p_quality and p_toxic (posteriors), the site's means, and keep.
+
+    Texts are scored once: what is carried is written with the evidence, and read for the sites and for the result.
+    """
+    prefix = own_names(docs, "")[0]
+    host, path, *odds = (prefix + n for n in ("host", "path", "q", "t"))
+    columns = site_columns(docs)
+    placed = docs.withColumn(host, columns[0]).withColumn(path, columns[1])
+    scored = materialize(evidence(placed, model, *carried, host, path, names=tuple(odds)), "evidence")
+    by_site = sites(scored.select(*(F.col(a).alias(b) for a, b in zip((host, path, *odds), ("__host", "__path", *_SCORED), strict=True))))
+    by_site = by_site.select(*(F.col(c).alias(prefix + c[2:]) for c in by_site.columns))
     by_site = F.broadcast(by_site) if by_site.count() <= BROADCAST_SITES else by_site
-    out = evidence(placed, model, *carried, "__host", "__path").join(by_site, ["__host", "__path"])
-    for t, odds in zip(TARGETS, _SCORED, strict=True):
-        out = out.withColumn(f"__p_{t}", 1 / (1 + F.exp(-(F.col(odds) + F.col(f"__shift_{t}")))))
-    return out.withColumn("__keep", (F.col("__p_quality") >= least_quality) & (F.col("__p_toxic") < most_toxic))
+    out = scored.join(by_site, [host, path])
+    for t, own in zip(TARGETS, odds, strict=True):
+        out = out.withColumn(f"{prefix}p_{t}", 1 / (1 + F.exp(-(F.col(own) + F.col(f"{prefix}shift_{t}")))))
+    return out.withColumn(f"{prefix}keep", (F.col(f"{prefix}p_quality") >= least_quality) & (F.col(f"{prefix}p_toxic") < most_toxic)), prefix
 
 
 def score(docs: DataFrame, labels: DataFrame, **limits: float) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text, lang, source): doc_id, host, path, posteriors and sites' means, keep."""
-    out = judge(docs, fit_on(docs, labels), "doc_id", **limits)
-    return out.select("doc_id", *(F.col(f"__{c}").alias(c) for c in ("host", "path", "p_quality", "p_toxic", "host_quality", "path_quality", "host_toxic", "path_toxic", "keep")))
+    out, prefix = judge(docs, fit_on(docs, labels), "doc_id", **limits)
+    return out.select("doc_id", *(F.col(prefix + c).alias(c) for c in ("host", "path", "p_quality", "p_toxic", "host_quality", "path_quality", "host_toxic", "path_toxic", "keep")))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **limits: float) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    return judge(docs, fit_on(docs, labels), *docs.columns, **limits).filter("__keep").select(*docs.columns)
+    out, prefix = judge(docs, fit_on(docs, labels), *docs.columns, **limits)
+    return out.filter(prefix + "keep").select(*(F.col(f"`{c}`") for c in docs.columns))

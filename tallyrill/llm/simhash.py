@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from ._shared import materialize, utf8
+from ._shared import materialize, own_names, utf8
 from .components import components, local_roots
 
 #: Rows of a table's group that are wanted at most on average; of a tile; and of a group that one task compares.
@@ -210,20 +210,26 @@ def _own():
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__h")
 
 
-def _kept(hashed: DataFrame, placed: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows of ``hashed`` that are the first of their component."""
-    first = placed.select(F.col("__first.doc_id").alias("__id"), F.col("__first.__h").alias("__k")).distinct()
-    kept = hashed.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__k")), "left_semi")
+def _hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and __h, a hash of it, alone."""
+    return docs.select("doc_id", "text").withColumn("__h", F.xxhash64("text"))
+
+
+def _kept(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are the first of their component."""
+    own, at, key, row = own_names(docs, "h", "id", "key", "row")
+    first = placed.select(F.col("__first.doc_id").alias(at), F.col("__first.__h").alias(key)).distinct()
+    kept = docs.withColumn(own, F.xxhash64("text")).join(first, F.col("doc_id").eqNullSafe(F.col(at)) & (F.col(own) == F.col(key)), "left_semi")
     # Repeated rows have the same id and text: any one of them stays.
-    return kept.withColumn("__r", F.row_number().over(Window.partitionBy("doc_id", "__h").orderBy(F.lit(0)))).filter("__r = 1").select(*columns)
+    once = kept.withColumn(row, F.row_number().over(Window.partitionBy("doc_id", own).orderBy(F.lit(0)))).filter(F.col(row) == 1)
+    return once.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def keep_one(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """One row of each component, that of the smallest id (then of the smallest hash of its text), with all columns of ``docs``."""
-    hashed = docs.withColumn("__h", F.xxhash64("text"))
-    rows = materialize(with_fingerprints(hashed, "doc_id", "__h", width=width).withColumn("__own", _own()), "fingerprints")
+    rows = materialize(with_fingerprints(_hashed(docs), "doc_id", "__h", width=width).withColumn("__own", _own()), "fingerprints")
     classes = materialize(rows.groupBy("__fp").agg(F.min("__own").alias("__least")), "prints")
-    return _kept(hashed, _with_first(rows, classes, "__fp", links(classes.select(F.col("__fp").alias("fp")), radius)), docs.columns)
+    return _kept(docs, _with_first(rows, classes, "__fp", links(classes.select(F.col("__fp").alias("fp")), radius)))
 
 
 # Near-duplicates by similarity: a radius wide enough for it, and an exact check of what is within.
@@ -235,7 +241,7 @@ _ORDERS = [pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(16)]
 def _sketch(batches: Iterator[pa.RecordBatch], width: int, tables: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         prints, sizes, least, sets = [], [], [], []
-        for raw in b.column("__raw").to_pylist():
+        for raw in (x.as_py() for x in b.column("__raw")):
             own = np.unique(shingle_hashes(raw, width))
             prints.append(fingerprint(own))  # repeats do not count, as they do not in the similarity
             sizes.append(len(own))
@@ -252,7 +258,7 @@ def _runs(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[tupl
     """Groups of two rows or more; rows come sorted by table, key and unit."""
     now, rows = None, []
     for b in batches:
-        for tab, key, unit, *rest in zip(*(b.column(n).to_pylist() for n in ("tab", "key", "unit", *names)), strict=True):
+        for tab, key, unit, *rest in zip(*((x.as_py() for x in b.column(n)) if n == "all" else b.column(n).to_pylist() for n in ("tab", "key", "unit", *names)), strict=True):
             if (tab, key, unit) != now:
                 if len(rows) > 1:
                     yield now, rows
@@ -300,8 +306,10 @@ def _members(batches: Iterator[pa.RecordBatch], radius: int, similarity: float)
 def _shingle_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     unpacker = zstandard.ZstdDecompressor()
     for b in batches:
-        sets = [np.unique(shingle_hashes(unpacker.decompress(z), width)).tobytes() for z in b.column("__zip").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("set"), pa.array(sets, pa.binary())], ["set", "all"])
+        for at in range(0, b.num_rows, 512):
+            part = b.slice(at, 512)
+            sets = [np.unique(shingle_hashes(unpacker.decompress(z.as_py()), width)).tobytes() for z in part.column("__zip")]
+            yield pa.RecordBatch.from_arrays([part.column("set"), pa.array(sets, pa.binary())], ["set", "all"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
@@ -328,7 +336,7 @@ def _verified(batches: Iterator[pa.RecordBatch], radius: int, similarity: float)
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packer = zstandard.ZstdCompressor(level=3)
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__h"), pa.array([packer.compress(r) for r in b.column("__raw").to_pylist()], pa.binary())], ["doc_id", "__h", "__zip"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__h"), pa.array([packer.compress(r.as_py()) for r in b.column("__raw")], pa.binary())], ["doc_id", "__h", "__zip"])
 
 
 def similar_links(hashed: DataFrame, classes: DataFrame, width: int, similarity: float, radius: int) -> DataFrame:
@@ -365,10 +373,10 @@ def keep_one_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, r
     fingerprints are compared, in tiles, where two documents share one of ``tables`` least shingles (at 0.8 all but 0.2 ^ tables
     of pairs do); what is within the radius is checked exactly on the shingles.
     """
-    hashed = docs.withColumn("__h", F.xxhash64("text"))
+    hashed = _hashed(docs)
     kept = hashed.select("doc_id", "__h")
     more = [StructField("__fp", LongType()), StructField("__n", LongType()), StructField("__mins", ArrayType(LongType())), StructField("__set", BinaryType())]
     rows = hashed.select("doc_id", "__h", utf8("text").alias("__raw")).mapInArrow(partial(_sketch, width=width, tables=tables), StructType([*kept.schema.fields, *more]))
     rows = materialize(rows.withColumn("__own", _own()), "sketches")
     classes = materialize(rows.groupBy("__set").agg(F.min("__own").alias("__least"), F.first("__fp").alias("__fp"), F.first("__n").alias("__n"), F.first("__mins").alias("__mins")), "sets")
-    return _kept(hashed, _with_first(rows.select("doc_id", "__h", "__set", "__own"), classes, "__set", similar_links(hashed, classes, width, similarity, radius)), docs.columns)
+    return _kept(docs, _with_first(rows.select("doc_id", "__h", "__set", "__own"), classes, "__set", similar_links(hashed, classes, width, similarity, radius)))
