@@ -8,16 +8,16 @@ import time
 from pathlib import Path
 from typing import TextIO
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.predicate import canonical, parse_filter
 from .operators import cube, render
-from .operators.scan import drop_counters, rejects, scan
+from .operators.scan import observed, rejects, scan
 from .plans.model import Datasource, EngineError, Metric, Query
 from .plans.parse import parse_breakdowns
 from .sources import store
-from .sources.readers import files_of, points, read
+from .sources.readers import files_of, points, read, typed_in
 
 #: Options: whether they take a value, and their short forms.
 VALUED = {"after": "A", "before": "B", "breakdowns": "b", "filter": "f", "interval": "i", "index-config": "", "backend": "", "path": "", "index-path": "", "time-field": "", "time-format": "", "data-format": "", "assetroot": "", "datasource": ""}
@@ -99,12 +99,12 @@ def _list(datasources: list[Datasource], verbose: bool, out: TextIO) -> None:
 
 
 def _show(result, q: Query, o: dict, title: str, out: TextIO) -> None:
-    rows = render.rows_of(result, q)
     if o.get("points"):
-        lines = render.points(rows, q)
+        lines = render.points(render.each_row(result, q), q)
     elif o.get("raw"):
-        lines = [render.raw(rows, q)]
+        lines = [render.raw(render.rows_of(result, q), q)]
     else:
+        rows = render.rows_of(result, q)
         lines = render.gnuplot(rows, q, title) if o.get("gnuplot") else render.pretty(rows, q)
     for line in lines:
         print(line, file=out)
@@ -182,35 +182,36 @@ def _data(command: str, o: dict, name: str, catalog, spark: SparkSession, out: T
     if o.get("gnuplot") and len(q.breakdowns) != 1:
         raise EngineError("--gnuplot can only be used with exactly one breakdown")
     warn = lambda text: print(f"warn: {text}", file=err)
-    if command == "query" and o.get("dry-run"):
-        cube.query(spark, ds, q, interval).explain("formatted")
-        return
     if o.get("dry-run"):
-        print("would scan files:", *(f"    {f}" for f in files_of(spark, ds, q)), sep="\n", file=err)
+        files = cube.files_of(spark, ds, q, interval) if command == "query" else files_of(spark, ds, q)
+        print("would scan files:", *(f"    {f}" for f in files), sep="\n", file=err)
         return
+    # Counters come from the one job that reads the records.
+    counters = Observation() if o.get("counters") else None
+    watch = (lambda source: observed(source, counters, q, ds.time_field, ds.filter)) if counters else (lambda source: source)
     if command == "scan":
-        _show(scan(spark, ds, q, warn), q, o, ds.name, out)
+        _show(scan(spark, ds, q, warn, watch), q, o, ds.name, out)
     elif command == "query":
-        _show(cube.query(spark, ds, q, interval), q, o, ds.name, out)
+        stored = (lambda rows: rows.observe(counters, F.count("*").alias("nstored"), F.sum("value").alias("nrecords"))) if counters else (lambda rows: rows)
+        _show(cube.query(spark, ds, q, interval, watch=stored), q, o, ds.name, out)
     elif command == "build":
-        cube.build(spark, ds, _metrics(catalog, name, o), interval, q)
+        cube.build(spark, ds, _metrics(catalog, name, o), interval, q, watch)
     elif command == "index-scan":
-        tagged = cube.tagged_points(read(spark, ds, q, warn), _metrics(catalog, name, o), interval, ds.time_field, ds.filter, q)
+        tagged = cube.tagged_points(watch(read(spark, ds, q, warn)), _metrics(catalog, name, o), interval, ds.time_field, ds.filter, q)
         for r in tagged.select(F.to_json(F.struct(*(c for c in tagged.columns if c != "value"))).alias("f"), "value").toLocalIterator():
             print(f'{{"fields":{r["f"]},"value":{r["value"]}}}', file=out)
     else:
         metrics = _metrics(catalog, name, o)
         width = max([len(m.breakdowns) for m in metrics], default=0)
-        lines = spark.createDataFrame([(x.rstrip("\n"),) for x in sys.stdin], "value string")
-        s = points(lines)
+        s = points(typed_in(spark))
         tagged = s.df.filter(~s.invalid).select(s.fields["__dn_metric"].number.cast("int").alias("__dn_metric"), s.fields["__dn_ts"].text.alias("__dn_ts"), *(s.fields[f"k{i}"].text.alias(f"k{i}") for i in range(width)), "value")
         cube.write_points(tagged.groupBy(*(c for c in tagged.columns if c != "value")).agg(F.sum("value").cast("long").alias("value")), ds, metrics, interval)
-    if o.get("counters") and command != "query":
-        for label, n in drop_counters(read(spark, ds, q), q, ds.time_field, ds.filter).first().asDict().items():
-            print(f"{label:<20} {n:>12}", file=err)
+    if counters:
+        for label, n in counters.get.items():
+            print(f"{label:<20} {n or 0:>12}", file=err)
     if o.get("warnings"):
         source = read(spark, ds, q)
-        for r in rejects(source, q, ds.time_field, ds.filter).limit(100).collect():
+        for r in rejects(source, q, ds.time_field, ds.filter).toLocalIterator():
             print(f"warn: {r['reason']}: {r['rec'] if 'rec' in r else r}", file=err)
 
 

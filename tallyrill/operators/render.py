@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..plans.model import EngineError, Query
 from .histogram import BAR, FAR
 
 
+def each_row(result: DataFrame, query: Query) -> Iterator[tuple]:
+    """All rows, the value last, in order of their columns from the left (sorted by Spark); the driver holds one partition at a time."""
+    rows = result.select(*(F.col(f"`{b.name}`").alias(f"c{i}") for i, b in enumerate(query.breakdowns)), F.col("value").alias("v"))
+    yield from map(tuple, (rows.orderBy(*rows.columns) if query.breakdowns else rows).toLocalIterator())
+
+
 def rows_of(result: DataFrame, query: Query) -> list[tuple]:
-    """All rows in order of their columns, from the left, the value last."""
-    return sorted(tuple(r) for r in result.select(*(f"`{b.name}`" for b in query.breakdowns), "value").collect())
+    return list(each_row(result, query))
 
 
 def iso_text(seconds: int) -> str:
@@ -29,7 +35,7 @@ def _least(ordinal: int, b) -> int:
     return (1 << ordinal - 1 if ordinal > 0 else 0) if b.aggr == "quantize" else ordinal * b.step
 
 
-def points(rows: list[tuple], query: Query) -> Iterator[str]:
+def points(rows: Iterable[tuple], query: Query) -> Iterator[str]:
     names = [b.name for b in query.breakdowns]
     for r in rows:
         yield json.dumps({"fields": dict(zip(names, r[:-1], strict=True)), "value": r[-1]}, separators=(",", ":"), ensure_ascii=False)
@@ -77,11 +83,13 @@ def gnuplot(rows: list[tuple], query: Query, title: str) -> Iterator[str]:
     if len(query.breakdowns) != 1:
         raise EngineError("--gnuplot can only be used with exactly one breakdown")
     (b,) = query.breakdowns
-    yield from ("# Input for gnuplot. To plot to graph.png: gnuplot < this_file > graph.png", "set terminal png size 1200,600", f'set title "{title}"')
+    yield from ("# A graph of counts, for gnuplot: gnuplot < FILE > PICTURE", "set terminal png size 1000,500", f'set title "{title}"')
     if b.date:
-        yield from ("# The x-axis is time.", "set xdata time;", 'set timefmt "%s";', 'set format x "%m/%d\\n%H:%MZ"')
-    yield from ("set offsets graph 0, 0, 0.1, 0", "set yrange [0:*]", 'set ylabel "Count"', "set ytics")
-    yield f'plot "-" using {"1:2" if b.date else "(column(0)):2:xtic(1)"} with linespoints title "Value"'
+        # How gnuplot reads and shows seconds.
+        yield from ("set xdata time;", 'set timefmt "%s";', 'set format x "%m/%d\\n%H:%MZ"')
+    yield from ("set yrange [0:*]", 'set ylabel "Count"', "set ytics")
+    # Buckets are numbers on the x-axis; other keys label the rows.
+    yield f'plot "-" using {"1:2" if b.aggr else "(column(0)):2:xtic(1)"} with linespoints title "Value"'
     for x, value in rows:
         yield f"\t{x} {value}"
     yield "\te"

@@ -6,10 +6,11 @@ reason; ``classify`` names it for each row, ``scan`` only drops it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bucket import bucket
@@ -92,16 +93,25 @@ def scan_source(source: Source, query: Query, time_field: str | None = None, ds_
     return aggregate(kept(p), p.keys, p.value)
 
 
-def scan(spark: SparkSession, ds: Datasource, query: Query, warn=None) -> DataFrame:
-    """The query's result over the datasource's raw data: its breakdowns and value."""
-    return scan_source(read(spark, ds, query, warn), query, ds.time_field, ds.filter)
+def scan(spark: SparkSession, ds: Datasource, query: Query, warn=None, watch: Callable[[Source], Source] = lambda x: x) -> DataFrame:
+    """The query's result over the datasource's raw data: its breakdowns and value. ``watch`` may put counters on what is read."""
+    return scan_source(watch(read(spark, ds, query, warn)), query, ds.time_field, ds.filter)
+
+
+def _counts() -> list[Column]:
+    named = [F.count_if(F.col("reason") == r).alias(r.replace(" ", "_")) for r in REASONS]
+    return [F.count("*").alias("ninputs"), F.count_if(F.col("reason").isNull()).alias("noutputs"), *named]
 
 
 def drop_counters(source: Source, query: Query, time_field: str | None = None, ds_filter: dict | None = None) -> DataFrame:
     """One row: ninputs, noutputs, and how many rows each reason took."""
-    rows = classify(plan(source, query, time_field, ds_filter))
-    named = [F.count_if(F.col("reason") == r).alias(r.replace(" ", "_")) for r in REASONS]
-    return rows.agg(F.count("*").alias("ninputs"), F.count_if(F.col("reason").isNull()).alias("noutputs"), *named)
+    return classify(plan(source, query, time_field, ds_filter)).agg(*_counts())
+
+
+def observed(source: Source, observation: Observation, query: Query, time_field: str | None = None, ds_filter: dict | None = None) -> Source:
+    """The source, whose records are counted as ``drop_counters`` does by whatever job reads them."""
+    rows = classify(plan(source, query, time_field, ds_filter)).observe(observation, *_counts())
+    return replace(source, df=rows.drop("reason"))
 
 
 def rejects(source: Source, query: Query, time_field: str | None = None, ds_filter: dict | None = None) -> DataFrame:

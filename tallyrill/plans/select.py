@@ -1,4 +1,4 @@
-"""Which metric can answer a query: the first, in the order of definition, that has what the query needs."""
+"""Which metrics can answer a query: those that have what it needs, in the order of definition."""
 
 from __future__ import annotations
 
@@ -27,8 +27,9 @@ def _divides(have: Breakdown, want: Breakdown) -> bool:
     return want.aggr == "lquantize" and want.step % have.step == 0
 
 
-def choose(metrics: list[Metric], query: Query, exact: bool = False) -> Choice:
-    """``exact``: only metrics of which the query's buckets can be made without loss."""
+def choices(metrics: list[Metric], query: Query, exact: bool = False) -> list[Choice]:
+    """One or more. ``exact``: only metrics of which the query's buckets can be made without loss."""
+    out = []
     for number, m in enumerate(metrics):
         if m.filter and canonical(m.filter) != canonical(query.filter):
             continue
@@ -41,5 +42,12 @@ def choose(metrics: list[Metric], query: Query, exact: bool = False) -> Choice:
             continue
         if exact and not all(_divides(have[b.name], b) for b in query.breakdowns):
             continue
-        return Choice(number, m, not m.filter, time_column)
+        out.append(Choice(number, m, not m.filter, time_column))
+    if out:
+        return out
     raise EngineError("no metrics available to serve query")
+
+
+def choose(metrics: list[Metric], query: Query, exact: bool = False) -> Choice:
+    """The first that can."""
+    return choices(metrics, query, exact)[0]

@@ -185,6 +185,37 @@ def cube_time_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cubed(spark, sf_dir, "day", [(None, f"{_DAY},event_type")], Query.parse(None, "event_type", after="2024-01-05", before="2024-01-12T12:00:00"))
 
 
+def _rebuilt(spark: SparkSession, sf_dir: str, builds: list[tuple[list[tuple], str, str]], query: Query) -> DataFrame:
+    """Cubes of the events by day, built one after the other, each with its own metrics (filter, breakdowns) and time range."""
+    ds = Datasource("events", "-", index_path=scratch(spark), time_field="ts", data_format="parquet")
+    for metrics, after, before in builds:
+        own = [Metric(f"m{i}", "events", p, tuple(parse_breakdowns(b))) for i, (p, b) in enumerate(metrics)]
+        cube.write_points(cube.tagged_points(typed(events(spark, sf_dir)), own, "day", "ts", bounds=Query.parse(after=after, before=before)), ds, own, "day")
+    return cube.query(spark, ds, query, "day")
+
+
+@_register(f"SELECT event_type, {_N} FROM events WHERE {_TS} < epoch(TIMESTAMP '2024-01-20') GROUP BY 1")
+def cube_metrics_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days with one metric, then days with another: each day answers with what it holds."""
+    builds = [([(None, "event_type")], "2024-01-01", "2024-01-10"), ([(None, "user_id,event_type")], "2024-01-10", "2024-01-20")]
+    return _rebuilt(spark, sf_dir, builds, Query.parse(None, "event_type"))
+
+
+@_register(f"SELECT user_id::VARCHAR AS user_id, {_N} FROM events WHERE event_type = 'click' AND {_TS} < epoch(TIMESTAMP '2024-02-10') GROUP BY 1")
+def cube_metrics_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same metrics in another order, over days that are there already."""
+    click = ({"eq": ["event_type", "click"]}, "user_id")
+    builds = [([(None, "event_type"), click], "2024-01-01", "2024-02-10"), ([click, (None, "event_type")], "2024-01-05", "2024-01-12")]
+    return _rebuilt(spark, sf_dir, builds, Query.parse(click[0], "user_id"))
+
+
+@_register(f"SELECT user_id::VARCHAR AS user_id, {_N} FROM events WHERE {_TS} >= epoch(TIMESTAMP '2024-01-10') AND {_TS} < epoch(TIMESTAMP '2024-01-20') GROUP BY 1")
+def cube_metric_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days whose metrics cannot answer add nothing, though others were in their place."""
+    builds = [([(None, "event_type")], "2024-01-01", "2024-01-10"), ([(None, "user_id")], "2024-01-10", "2024-01-20")]
+    return _rebuilt(spark, sf_dir, builds, Query.parse(None, "user_id"))
+
+
 @_register(f"""SELECT 0::INTEGER AS __dn_metric, strftime(date_trunc('day', ts), '%Y-%m-%dT%H:%M:%S.000Z') AS __dn_ts, event_type AS k0, {_N} FROM events GROUP BY 1, 2, 3
 UNION ALL SELECT 1::INTEGER, strftime(date_trunc('day', ts), '%Y-%m-%dT%H:%M:%S.000Z'), user_id::VARCHAR, {_N} FROM events WHERE value < 10 GROUP BY 1, 2, 3""")
 def multi_metric_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:

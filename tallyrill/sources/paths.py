@@ -65,13 +65,22 @@ def hadoop(spark: SparkSession, path: str):
 
 
 def existing(spark: SparkSession, paths: list[str]) -> list[str]:
-    """Those paths that exist; others hold no data."""
-    out = []
-    for p in paths:
-        fs, at = hadoop(spark, p)
-        if fs.exists(at):
-            out.append(p)
-    return out
+    """Those paths that exist; others hold no data. Of many paths, each folder above them is listed once, from the top."""
+    if len(paths) <= 4:
+        return [p for p in paths if (at := hadoop(spark, p))[0].exists(at[1])]
+    listed: dict[str, set[str]] = {}
+
+    def names(folder: str, depth: int) -> set[str]:
+        if folder not in listed:
+            above, _, own = folder.rpartition("/")
+            # A folder that is not in the one above it needs no call.
+            there = depth == 0 or not own or "://" not in above + "/x" and not above or own in names(above, depth - 1)
+            fs, at = hadoop(spark, folder or "/")
+            listed[folder] = {s.getPath().getName() for s in fs.listStatus(at)} if there and fs.exists(at) else set()
+        return listed[folder]
+
+    levels = 2  # above a pattern's last part there may be folders by day and by year
+    return [p for p in paths if p.rpartition("/")[2] in names(p.rpartition("/")[0], levels)]
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
@@ -95,5 +104,8 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         stream.write(bytearray(text.encode()))
     finally:
         stream.close()
-    fs.delete(at, False)
-    fs.rename(beside, at)
+    jvm = spark.sparkContext._jvm
+    over = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    over[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(beside), fs.makeQualified(at), over)

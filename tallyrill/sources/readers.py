@@ -5,6 +5,8 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
+from typing import TextIO
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +75,17 @@ def files_of(spark: SparkSession, ds: Datasource, query: Query) -> list[str]:
     return sorted(spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(paths).select("path").inputFiles()) if paths else []
 
 
+@cache
+def _all_of(stream: TextIO) -> list[tuple[str]]:
+    """A stream can be read but once, and counters and warnings want it again."""
+    return [(x.rstrip("\n"),) for x in stream]
+
+
+def typed_in(spark: SparkSession) -> DataFrame:
+    """The lines of standard input, which only the driver has."""
+    return spark.createDataFrame(_all_of(sys.stdin), "value string")
+
+
 def read(spark: SparkSession, ds: Datasource, query: Query, warn: Callable[[str], None] | None = None) -> Source:
     if ds.data_format != "parquet" and ds.data_format not in FORMATS:
         raise EngineError(f'unsupported format: "{ds.data_format}"')
@@ -85,7 +98,7 @@ def read(spark: SparkSession, ds: Datasource, query: Query, warn: Callable[[str]
     if ds.path == "/dev/null" or not paths:
         lines = spark.createDataFrame([], "value string")
     elif ds.path == "/dev/stdin":
-        lines = spark.createDataFrame([(x.rstrip("\n"),) for x in sys.stdin], "value string")
+        lines = typed_in(spark)
     else:
         lines = spark.read.option("recursiveFileLookup", "true").text(paths)
     return FORMATS[ds.data_format](lines)

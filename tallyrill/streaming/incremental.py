@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.cube import manifest, query_frame, root, tagged_points, write_points
+from ..operators.cube import by_bucket, manifest, query_frame, root, store, stored_at, tagged_points, width_of
 from ..plans.model import Datasource, EngineError, Metric, Query
-from ..plans.select import choose
+from ..plans.select import choices
 from ..sources.paths import write_text
 from ..sources.readers import FORMATS
 
@@ -27,8 +27,8 @@ def _where(ds: Datasource, interval: str) -> str:
 
 def _store(lines: DataFrame, batch: int, ds: Datasource, metrics: list[Metric], interval: str) -> None:
     tagged = tagged_points(FORMATS[ds.data_format](lines), metrics, interval, ds.time_field, ds.filter)
-    rows = tagged.withColumnRenamed("__dn_metric", "dn_metric").withColumn("dn_bucket", F.replace(F.substring("__dn_ts", 1, 13), F.lit(":"), F.lit("-"))).drop("__dn_ts").withColumn("dn_batch", F.lit(batch))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dn_batch", "dn_metric", "dn_bucket").parquet(_where(ds, interval))
+    rows = by_bucket(tagged, metrics).withColumn("dn_batch", F.lit(batch)).hint("rebalance", "dn_bucket")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dn_batch", "dn_bucket").parquet(_where(ds, interval))
 
 
 def start(spark: SparkSession, ds: Datasource, metrics: list[Metric], interval: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -43,18 +43,15 @@ def start(spark: SparkSession, ds: Datasource, metrics: list[Metric], interval:
 
 def batches(spark: SparkSession, ds: Datasource, metrics: list[Metric], interval: str) -> DataFrame:
     """All batches' rows, in the form of a cube."""
-    width = max([len(m.breakdowns) for m in metrics], default=0)
-    schema = ", ".join([*(f"k{i} string" for i in range(width)), "value long", "dn_batch int", "dn_metric int", "dn_bucket string"])
-    return spark.read.schema(schema).option("basePath", _where(ds, interval)).parquet(_where(ds, interval))
+    return stored_at(spark, _where(ds, interval), width_of(metrics), "dn_batch int")
 
 
 def query(spark: SparkSession, ds: Datasource, metrics: list[Metric], q: Query, interval: str) -> DataFrame:
-    return query_frame(batches(spark, ds, metrics, interval), choose(metrics, q), q, interval)
+    return query_frame(batches(spark, ds, metrics, interval), choices(metrics, q), q, interval)
 
 
 def compact(spark: SparkSession, ds: Datasource, metrics: list[Metric], interval: str) -> None:
     """Write the batches' sums as the datasource's cube."""
     rows = batches(spark, ds, metrics, interval)
-    keys = [c for c in rows.columns if c.startswith("k")]
-    tagged = rows.groupBy(F.col("dn_metric").alias("__dn_metric"), F.col("dn_bucket").alias("__dn_ts"), *keys).agg(F.sum("value").cast("long").alias("value"))
-    write_points(tagged, ds, metrics, interval)
+    keys = [c for c in rows.columns if c not in ("value", "dn_batch")]
+    store(rows.groupBy(*keys).agg(F.sum("value").cast("long").alias("value")), ds, metrics, interval)
