@@ -100,7 +100,7 @@ def _list(datasources: list[Datasource], verbose: bool, out: TextIO) -> None:
 
 def _show(result, q: Query, o: dict, title: str, out: TextIO) -> None:
     if o.get("points"):
-        lines = render.points(render.each_row(result, q), q)
+        lines = render.points(render.each_row(result, q, whole=bool(o.get("counters"))), q)
     elif o.get("raw"):
         lines = [render.raw(render.rows_of(result, q), q)]
     else:
@@ -198,7 +198,8 @@ def _data(command: str, o: dict, name: str, catalog, spark: SparkSession, out: T
         cube.build(spark, ds, _metrics(catalog, name, o), interval, q, watch)
     elif command == "index-scan":
         tagged = cube.tagged_points(watch(read(spark, ds, q, warn)), _metrics(catalog, name, o), interval, ds.time_field, ds.filter, q)
-        for r in tagged.select(F.to_json(F.struct(*(c for c in tagged.columns if c != "value"))).alias("f"), "value").toLocalIterator():
+        rows = tagged.select(F.to_json(F.struct(*(c for c in tagged.columns if c != "value"))).alias("f"), "value")
+        for r in rows.collect() if counters else rows.toLocalIterator():
             print(f'{{"fields":{r["f"]},"value":{r["value"]}}}', file=out)
     else:
         metrics = _metrics(catalog, name, o)

@@ -13,14 +13,18 @@ from ..plans.model import EngineError, Query
 from .histogram import BAR, FAR
 
 
-def each_row(result: DataFrame, query: Query) -> Iterator[tuple]:
-    """All rows, the value last, in order of their columns from the left (sorted by Spark); the driver holds one partition at a time."""
+def each_row(result: DataFrame, query: Query, whole: bool = False) -> Iterator[tuple]:
+    """All rows, the value last, in order of their columns from the left (sorted by Spark).
+
+    The driver holds one partition at a time, or all rows (``whole``), which a frame that is observed needs: only then does Spark report.
+    """
     rows = result.select(*(F.col(f"`{b.name}`").alias(f"c{i}") for i, b in enumerate(query.breakdowns)), F.col("value").alias("v"))
-    yield from map(tuple, (rows.orderBy(*rows.columns) if query.breakdowns else rows).toLocalIterator())
+    rows = rows.orderBy(*rows.columns) if query.breakdowns else rows
+    yield from map(tuple, rows.collect() if whole else rows.toLocalIterator())
 
 
 def rows_of(result: DataFrame, query: Query) -> list[tuple]:
-    return list(each_row(result, query))
+    return list(each_row(result, query, whole=True))
 
 
 def iso_text(seconds: int) -> str:

@@ -1,5 +1,7 @@
 """Each registered query against its SQL, at the smallest scale."""
 
+import importlib
+import sys
 from pathlib import Path
 
 import duckdb
@@ -38,3 +40,12 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns == ["ts", "value"]
     assert QUERIES.keys() <= __spark_entry__.queries().keys() and ORACLE_SQL.keys() <= __spark_entry__.oracle_sql().keys()
+
+
+def test_entry_without_what_llm_needs(monkeypatch):
+    for name in [m for m in sys.modules if m.startswith(("tallyrill.llm", "corpus_pipeline", "__spark_entry__"))]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "public_tokenizers", None)
+    entry = importlib.import_module("__spark_entry__")
+    assert entry.queries().keys() == QUERIES.keys() and entry.oracle_sql().keys() == ORACLE_SQL.keys()
+    monkeypatch.delitem(sys.modules, "__spark_entry__")
