@@ -386,6 +386,18 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+@pytest.mark.parametrize("block", [3, 64, 1 << 16])
+def test_components_of_blocks(spark, monkeypatch, block):
+    """Chains, hubs, repeated links, loops and nulls come out the same however few edges a task contracts, for bytes too."""
+    monkeypatch.setattr(components, "BLOCK", block)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(201, 200), (201, 200), (300, 300), (None, 5), (7, None)]
+    want = {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 30)} | {201: 200}
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    assert {r["node"]: r["root"] for r in components.components(frame).collect()} == want
+    coded = frame.selectExpr("cast(lpad(a, 4, '0') as binary) a", "cast(lpad(b, 4, '0') as binary) b")
+    assert {int(r["node"]): int(r["root"]) for r in components.components(coded).collect()} == want
+
+
 # Tokens
 
 HARD = ["don't  '' 'tis x'sab !!'sab a 'll  \n\n\ny \r\n z\t", "a\x1c b\xa0 c  d　 x", "\x85 a ​x﻿", "İstanbul é éx ́y", "!!\x1c\x1d b", "<|endoftext|><|startoftext|> a", "    a᠎b", "ſt ﬁ Ǆ ß ẞ", "a" * 5000, "٣٤ Ⅷ ² x²"]
