@@ -81,16 +81,16 @@ class Model:
 
     def log_odds(self, raws: list[bytes]) -> np.ndarray:
         out = np.zeros((len(raws), len(TARGETS)))
-        shapes, terms = [], []
-        for raw in raws:
+        features: list[list[list[float]]] = [[] for _ in TARGETS]
+        for raw in raws:  # no more than one text's terms are held
             words = words_of(raw)
             distinct = set(words)
-            shapes.append(shape(raw, words, len(distinct)))
-            terms.append(terms_of(distinct))
+            form, terms = shape(raw, words, len(distinct)), terms_of(distinct)
+            for k in range(len(TARGETS)):
+                features[k].append([*form, *_strongest(terms, self.scores[k])])
         for k in range(len(TARGETS)):
             if raws:
-                x = np.hstack([np.array(shapes), np.array([_strongest(s, self.scores[k]) for s in terms])])
-                out[:, k] = ((x - self.mean[k]) / self.scale[k]) @ self.weights[k][:-1] + self.weights[k][-1]
+                out[:, k] = ((np.array(features[k]) - self.mean[k]) / self.scale[k]) @ self.weights[k][:-1] + self.weights[k][-1]
         return np.clip(out, -30, 30)
 
 
