@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +44,22 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch, at which Spark begins the next one.
+BATCH_BYTES = 1 << 22
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """What runs inside gets texts in Arrow batches of about ``size`` bytes (and one text at least); the session's setting comes back."""
+    before = spark.conf.get(_BATCH_KEY)
+    spark.conf.set(_BATCH_KEY, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_KEY, before)
+
+
 def own_names(df: DataFrame, *names: str) -> list[str]:
     """The names with a prefix that no column of ``df`` begins with: what is added to ``df`` never hides a column of its own."""
     prefix = "__"

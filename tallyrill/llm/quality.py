@@ -26,9 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from ._shared import materialize, own_names, utf8
+from ._shared import materialize, own_names, small_batches, utf8
 
 #: Bytes that are no part of a word become spaces.
 _WORDS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -190,33 +190,38 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Model:
     rows = docs.select("doc_id", utf8("text").alias("raw")).join(F.broadcast(picked), "doc_id")
     # One text for each id, so the driver gets no more than ``sample`` rows however often ids repeat.
     rows = rows.groupBy("doc_id", *TARGETS).agg(F.min_by("raw", F.xxhash64("raw")).alias("raw")).select("raw", *TARGETS)
-    got = rows.mapInArrow(_describe, "words binary, shape array<double>, quality int, toxic int").collect()
+    with small_batches(docs.sparkSession):
+        got = rows.mapInArrow(_describe, "words binary, shape array<double>, quality int, toxic int").collect()
     return fit(sorted((bytes(r["words"]), list(r["shape"]), [r[t] for t in TARGETS]) for r in got if r["words"] is not None))
 
 
 _SCORED = ("__q", "__t")
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Model, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """The last column, texts, becomes log-odds, in blocks of a bounded number of bytes."""
+def _score(batches: Iterator[pa.RecordBatch], model: Model, at: int, kept: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The first ``kept`` columns, and the log-odds of the texts, which are the column ``at``; in blocks of a bounded number of bytes."""
     for b in batches:
-        odds, block, size = [], [], 0
-        for raw in b.columns[-1]:
-            block.append(raw.as_py())
+        texts, block, size, start = b.column(at).cast(pa.binary()), [], 0, 0
+        for i in range(b.num_rows):
+            block.append(texts[i].as_py() or b"")
             size += len(block[-1])
-            if size > 1 << 22 or len(block) >= 1024:
-                odds.append(model.log_odds(block))
-                block, size = [], 0
-        odds = np.concatenate([*odds, model.log_odds(block)])
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(odds[:, 0]), pa.array(odds[:, 1])], [*b.schema.names[:-1], *names])
+            if size > 1 << 22 or len(block) >= 1024 or i + 1 == b.num_rows:
+                odds, part = model.log_odds(block), b.slice(start, len(block))
+                yield pa.RecordBatch.from_arrays([*part.columns[:kept], pa.array(odds[:, 0]), pa.array(odds[:, 1])], [*b.schema.names[:kept], *names])
+                block, size, start = [], 0, i + 1
 
 
 def evidence(docs: DataFrame, model: Model, *carried: str, names: tuple[str, ...] = _SCORED) -> DataFrame:
-    """The carried columns of ``docs``, and under ``names`` the log-odds of quality and toxicity by the document alone."""
-    kept = docs.select(*(F.col(f"`{c}`") for c in carried))
-    (raw,) = own_names(kept, "raw")
+    """The carried columns of ``docs``, and under ``names`` the log-odds of quality and toxicity by the document alone.
+
+    A text that is carried goes to Python once, for both.
+    """
+    sent = kept = docs.select(*(F.col(f"`{c}`") for c in carried))
+    at = next((i for i, f in enumerate(kept.schema.fields) if f.name.lower() == "text" and isinstance(f.dataType, StringType)), len(kept.columns))
+    if at == len(kept.columns):
+        sent = docs.select(*(F.col(f"`{c}`") for c in carried), utf8("text").alias(own_names(kept, "raw")[0]))
     schema = StructType([*kept.schema.fields, *(StructField(n, DoubleType()) for n in names)])
-    return docs.select(*kept.columns, utf8("text").alias(raw)).mapInArrow(partial(_score, model=model, names=list(names)), schema)
+    return sent.mapInArrow(partial(_score, model=model, at=at, kept=len(kept.columns), names=list(names)), schema)
 
 
 def site_columns(docs: DataFrame) -> tuple:
@@ -287,7 +292,8 @@ def judge(docs: DataFrame, model: Model, *carried: str, least_quality: float = 0
     host, path, *odds = (prefix + n for n in ("host", "path", "q", "t"))
     columns = site_columns(docs)
     placed = docs.withColumn(host, columns[0]).withColumn(path, columns[1])
-    scored = materialize(evidence(placed, model, *carried, host, path, names=tuple(odds)), "evidence")
+    with small_batches(docs.sparkSession):
+        scored = materialize(evidence(placed, model, *carried, host, path, names=tuple(odds)), "evidence")
     by_site = sites(scored.select(*(F.col(a).alias(b) for a, b in zip((host, path, *odds), ("__host", "__path", *_SCORED), strict=True))))
     by_site = by_site.select(*(F.col(c).alias(prefix + c[2:]) for c in by_site.columns))
     by_site = F.broadcast(by_site) if by_site.count() <= BROADCAST_SITES else by_site
