@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyrill.llm import ann, components, licenses, lines, packing, quality, sharding, simhash, suffixes, tokens, winnowing
+from tallyrill.llm._shared import small_batches
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, h string, raw string, zip string, spans string, part int, block string, doc long, dk long, key long, line string"
@@ -640,6 +641,24 @@ def test_canonical(spark):
 # Quality
 
 
+def test_evidence_blocks(spark):
+    """Texts that are carried come back as they were, with the odds of each text by itself, over blocks and batches; the session's setting stays."""
+    width = len(quality.shape(b"", [], 0)) + 2 * quality.TOP
+    model = quality.Model([{}, {}], [np.zeros(width)] * 2, [np.ones(width)] * 2, [np.linspace(-1, 1, width + 1), np.linspace(1, -2, width + 1)])
+    texts = [None, "", "é long text. " * 400_000, *(f"row {i} has\nA few words" for i in range(2500)), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    with small_batches(spark, 1 << 16):
+        whole = {r["doc_id"]: r for r in quality.evidence(docs, model, "doc_id", "text").collect()}
+        alone = {r["doc_id"]: r for r in quality.evidence(docs, model, "doc_id").collect()}
+    assert spark.conf.get(key) == before and len(whole) == len(alone) == len(texts)
+    for i, text in enumerate(texts):
+        odds = model.log_odds([(text or "").encode()])[0]
+        assert whole[i]["text"] == text
+        assert np.allclose([whole[i]["__q"], whole[i]["__t"]], odds) and np.allclose([alone[i]["__q"], alone[i]["__t"]], odds)
+
+
 def test_quality(spark, none, odd):
     rng = random.Random(8)
     rows, labels = [], []
