@@ -12,7 +12,7 @@ path against the global mean. So a site with few documents says little, and one
 Nulls: a null text counts as empty, a null source as the host ''. Empty texts have the shape of an empty text and are
 rejected as any other text that the model finds poor. Without labels of both kinds a target's evidence is the share of its
 labels (0.5 without any). Repeated rows are scored each; other columns are carried along untouched.
-Very long texts are scored whole, in a block of their own. Posteriors that equal a limit: quality stays, toxicity goes.
+Very long texts are scored whole, as the last of their block. Posteriors that equal a limit: quality stays, toxicity goes.
 """
 
 from __future__ import annotations
