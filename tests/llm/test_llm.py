@@ -601,6 +601,37 @@ def test_ann(spark):
     assert [r[1] for r in got[40]][:20] == list(range(700, 720))
 
 
+def test_ann_whatever_the_rows(spark):
+    """Tight groups larger than what is reranked first, one component that outweighs the others, lengths that differ, a mean far from
+    zero, queries in a group that the fit does not see, numbers whose squares are out of range: the same rows as brute force."""
+    rng = np.random.default_rng(8)
+    n, d = 1200, 16
+    g, middle = rng.normal(size=(n, d)), rng.normal(size=(3, d))
+    cases = {"groups": middle[np.arange(n) % 3] + 1e-3 * g, "one": g * np.where(np.arange(d) == 3, 1000.0, 1.0), "lengths": g * np.exp(2 * rng.normal(size=(n, 1))), "offset": 1e4 + g, "huge": g * 1e152}
+    cases["rare"] = np.where(np.arange(n)[:, None] % 20 < 2, 5 * middle[0] + 1e-3 * g, 0.1 * g)
+    for name, x in cases.items():
+        df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+        got = defaultdict(list)
+        for r in ann.search(df, 20, 20, sample=200, rerank=30, width=1, chunk=500).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append((r["vec_id"], r["score"]))
+        assert sorted(got) == list(range(0, n, 20)), name
+        for q, found in got.items():
+            s = np.cumsum(x * x[q], axis=1)[:, -1]
+            order = np.lexsort((np.arange(n), -s))
+            order = order[order != q][:20]
+            assert found == list(zip(order.tolist(), s[order].tolist())), (name, q)
+
+
+def test_ann_repeated_ids(spark):
+    """A query's id with several vectors, all nearer than any other row; a vector whose rows mostly repeat one id; another id with two."""
+    rows = [(20, [10.0 + i, 0.0]) for i in range(5)] + [(40, [0.0, 9.0])] * 30 + [(i, [0.0, 9.0]) for i in (41, 42)] + [(i, [1.0, i / 100]) for i in range(1, 9)] + [(3, [0.5, 0.5])]
+    got = defaultdict(list)
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, 9).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert got[20] == [(i, 10.0) for i in range(1, 9)] + [(3, 5.0)]
+    assert got[40] == [(41, 81.0), (42, 81.0), (3, 4.5)] + [(i, 9 * (i / 100)) for i in (8, 7, 6, 5, 4, 3)]
+
+
 def test_ann_small(spark):
     schema = "vec_id long, embedding array<float>"
     assert ann.search(spark.createDataFrame([], schema)).collect() == []
